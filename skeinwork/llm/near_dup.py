@@ -5,7 +5,7 @@ codewords of the Reed-Solomon code of dimension 2 over that field: the polynomia
 the points 0..LENGTH-1. Its covering radius is LENGTH - 2 and it is maximum-distance separable, so the anchors
 within the covering radius of a word are exactly the lines through two of its symbols, LENGTH * (LENGTH - 1) / 2 of
 them, and any two words at most LENGTH - 2 symbols apart (two symbols equal) share one. Every fingerprint is
-copied to all its anchors; texts that meet at an anchor compare a 64-bit sketch, and the pairs left are checked
+copied to all its anchors; texts that meet at an anchor compare a sketch of 128 bits, and the pairs left are checked
 exactly on their texts.
 
 Lines that occur in a large share of all texts (site furniture) would make most texts of a site meet. They are
@@ -25,11 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LENGTH = 9
+LENGTH = 10
 PRIME = (1 << 31) - 1
-SKETCH_BITS = 64
-#: Texts of a pair over the similarity 0.6 differ in 12.8 sketch bits on average (standard deviation 3.2), unrelated ones in 32.
-SKETCH_MAX = 27
+#: The fingerprint reads runs of this many words (of more if the similarity does), which unrelated texts hardly share;
+#: texts under WIDE_FROM words are fingerprinted by the runs of the similarity itself, those under NARROW_TO by both.
+WIDE, WIDE_FROM, NARROW_TO = 5, 40, 80
+#: The sketch has two bits for each of 64 ranges of the hash space. Texts of the similarity 0.6 agree in 45 ranges on
+#: average (standard deviation 3.7), unrelated ones in 16.
+SKETCH_RANGES, SKETCH_LEAST = 64, 29
 #: A line is furniture if it occurs in more than this share of the texts (and in at least FURNITURE_MIN). At most
 #: (lines per text) / FURNITURE_SHARE lines can be, which bounds what is broadcast.
 FURNITURE_SHARE, FURNITURE_MIN = 0.002, 30
@@ -57,7 +60,7 @@ def _seeds(n: int) -> np.ndarray:
 
 
 _SYMBOL_SEEDS = _seeds(LENGTH)
-_BIN_EDGES = np.arange(SKETCH_BITS, dtype=np.uint64) << np.uint64(58)
+_RANGES = np.arange(SKETCH_RANGES, dtype=np.uint64)
 
 
 def words_of(text: str) -> list[str]:
@@ -84,35 +87,44 @@ def anchors(shingles: np.ndarray) -> np.ndarray:
     return np.unique((slope << 31) | start)
 
 
-def sketch(shingles: np.ndarray) -> int:
-    """One bit of the least hash in each of 64 ranges of the hash space, as a signed bigint."""
-    at = np.searchsorted(shingles, _BIN_EDGES)
-    held = at < len(shingles)
-    own = shingles[np.minimum(at, len(shingles) - 1)]
-    held &= (own >> np.uint64(58)) == np.arange(SKETCH_BITS, dtype=np.uint64)
-    bits = (_mix(own) & np.uint64(1)).astype(bool) & held
-    return int(np.packbits(bits).view(">i8")[0])
+def sketch(shingles: np.ndarray) -> tuple[int, int]:
+    """Two bits of the least hash in each of 64 ranges of the hash space, as two signed bigints."""
+    at = np.minimum(np.searchsorted(shingles, _RANGES << np.uint64(58)), len(shingles) - 1)
+    own = shingles[at]
+    held = (own >> np.uint64(58)) == _RANGES
+    mixed = np.where(held, _mix(own), np.uint64(0))
+    high, low = ((np.packbits((mixed >> np.uint64(b)) & np.uint64(1) == 1).view(">i8"))[0] for b in (0, 1))
+    return int(high), int(low)
 
 
 def line_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.strip()) - (1 << 63)
 
 
-def _fingerprint(text: str, width: int, furniture: frozenset) -> list[tuple[int, int, np.ndarray]]:
-    """(kind, sketch, anchors) of each fingerprint; kind 0 leaves the furniture out, kind 1 doesn't."""
-    everything = shingle_hashes(words_of(text), width)
-    if not len(everything):
+def _fingerprint(text: str, width: int, furniture: frozenset) -> list[tuple[int, int, int, np.ndarray]]:
+    """(kind, sketch, sketch, anchors) of each fingerprint. kind: 1 with furniture, 2 by runs of the similarity's width."""
+    words = words_of(text)
+    if len(words) < width:
         return []
-    share, left = 0.0, everything
-    if furniture:
-        kept = [x for x in text.splitlines() if line_hash(x) not in furniture]
-        left = shingle_hashes(words_of("\n".join(kept)), width)
-        share = 1 - len(left) / len(everything)
+    choices = []
+    everything = shingle_hashes(words, width)
+    if furniture and not furniture.isdisjoint(lines := [line_hash(x) for x in text.splitlines()]):
+        kept = words_of("\n".join(x for x, h in zip(text.splitlines(), lines) if h not in furniture))
+        share = 1 - len(kept) / len(words)
+        if share < WITHOUT_BELOW and len(kept) >= width:
+            choices.append((0, kept, shingle_hashes(kept, width)))
+        if share > WITH_ABOVE or len(kept) < width:
+            choices.append((1, words, everything))
+    else:
+        choices.append((0, words, everything))
+    wide = max(width, WIDE)
     out = []
-    if share < WITHOUT_BELOW:
-        out.append((0, sketch(left), anchors(left)))
-    if share > WITH_ABOVE:
-        out.append((1, sketch(everything), anchors(everything)))
+    for kind, own, narrow in choices:
+        marks = sketch(narrow)
+        if len(own) >= WIDE_FROM:
+            out.append((kind, *marks, anchors(shingle_hashes(own, wide))))
+        if len(own) < NARROW_TO:
+            out.append((kind | 2, *marks, anchors(narrow)))
     return out
 
 
@@ -143,19 +155,18 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int =
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, s, a) for i, t in zip(pdf["id"], pdf["text"]) for k, s, a in _fingerprint(t, width, furniture.value)]
-            out = pd.DataFrame(rows, columns=["id", "kind", "sketch", "anchors"])
-            out["digest"] = out["id"].map(dict(zip(pdf["id"], pdf["digest"])))
-            yield out[["id", "digest", "kind", "sketch", "anchors"]]
-
-    raw = base.withColumn("digest", F.unhex(F.md5("text"))).mapInPandas(prints, "id long, digest binary, kind int, sketch long, anchors array<long>")
-    reps = raw.groupBy("digest", "kind").agg(F.min_by(F.struct("id", "sketch", "anchors"), "id").alias("r"))
-    copied = reps.select(F.col("r.id").alias("id"), F.col("r.sketch").alias("sketch"), F.explode("r.anchors").alias("a"), "kind")
-    copied = copied.select(F.xxhash64("a", "kind").alias("anchor"), "id", "sketch")
-    a = copied.select("anchor", F.col("id").alias("rep_a"), F.col("sketch").alias("sa"))
-    b = copied.select("anchor", F.col("id").alias("rep_b"), F.col("sketch").alias("sb"))
-    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SKETCH_MAX
-    met = a.join(b.hint("merge"), "anchor").filter((F.col("rep_a") < F.col("rep_b")) & near).select("rep_a", "rep_b").distinct()
+            rows = [(i, d, *f) for i, d, t in zip(pdf["id"], pdf["digest"], pdf["text"]) for f in _fingerprint(t, width, furniture.value)]
+            yield pd.DataFrame(rows, columns=["id", "digest", "kind", "s1", "s2", "anchors"])
+
+    raw = base.withColumn("digest", F.unhex(F.md5("text"))).mapInPandas(prints, "id long, digest binary, kind int, s1 long, s2 long, anchors array<long>")
+    reps = raw.groupBy("digest", "kind").agg(F.min_by(F.struct("id", "s1", "s2", "anchors"), "id").alias("r"))
+    copied = reps.select(F.col("r.id").alias("id"), F.col("r.s1").alias("s1"), F.col("r.s2").alias("s2"), F.explode("r.anchors").alias("a"), "kind")
+    copied = copied.select(F.xxhash64("a", "kind").alias("anchor"), "id", "s1", "s2")
+    a = copied.select("anchor", F.col("id").alias("rep_a"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
+    b = copied.select("anchor", F.col("id").alias("rep_b"), F.col("s1").alias("q1"), F.col("s2").alias("q2"))
+    unlike = F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")).bitwiseOR(F.col("p2").bitwiseXOR(F.col("q2"))))
+    met = a.join(b.hint("merge"), "anchor").filter((F.col("rep_a") < F.col("rep_b")) & (unlike <= SKETCH_RANGES - SKETCH_LEAST))
+    met = met.select("rep_a", "rep_b").distinct()
 
     sides = met.join(base.select(F.col("id").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
     sides = sides.join(base.select(F.col("id").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
