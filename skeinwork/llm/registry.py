@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _name in ("queries_a", "queries_b", "queries_c"):
+for _name in ("queries_a", "queries_b", "queries_c", "queries_d"):
     _module = importlib.import_module(f"skeinwork.llm.{_name}")
     QUERIES |= _module.QUERIES
     SQL |= getattr(_module, "SQL", {})
