@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from skeinwork.plans import skew_queries
+import importlib
 
-FLAGSHIP = "p2_found"
-QUERIES = {**skew_queries.QUERIES}
-SQL = {**skew_queries.SQL}
+FLAGSHIP = "top_domains"
+QUERIES: dict = {}
+SQL: dict = {}
+for _name in ("skew_queries", "analytics_queries"):
+    _module = importlib.import_module(f"skeinwork.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
