@@ -242,21 +242,6 @@ def daily_filled(events: DataFrame, first: str, last: str) -> DataFrame:
     return days.join(pages, "date", "left").select("date", F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
-def system_stats(jobs: DataFrame) -> DataFrame:
-    """Jobs by state (cancelled counts as failed, paused as pending) and their totals. jobs: status, pages_crawled, documents_indexed, errors."""
-    s = F.col("status")
-    return jobs.agg(
-        F.count("*").alias("total"),
-        F.count_if(s == "running").alias("running"),
-        F.count_if(s == "completed").alias("completed"),
-        F.count_if(s.isin("failed", "cancelled")).alias("failed"),
-        F.count_if(s.isin("pending", "paused")).alias("pending"),
-        F.coalesce(F.sum("pages_crawled"), F.lit(0)).alias("pages_crawled"),
-        F.coalesce(F.sum("documents_indexed"), F.lit(0)).alias("documents_indexed"),
-        F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
-    )
-
-
 def rate_and_error_windows(events: DataFrame, size: str = "1 hour", slide: str = "15 minutes") -> DataFrame:
     """Sliding-window monitoring: rows, failures, error ratio, and median and 95th percentile of the duration."""
     w = events.groupBy(F.window("timestamp", size, slide))

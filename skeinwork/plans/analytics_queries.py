@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skeinwork.operators import analytics as A
 from skeinwork.session import table
@@ -32,13 +31,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "request_events")
 
 
-def _jobs(events: DataFrame) -> DataFrame:
-    """A job table derived from the events: one row per job, failed if most of its rows failed."""
-    bad = F.count_if((F.col("status_code") >= 400) | (F.col("status_code") == 0))
-    j = events.groupBy("job_id").agg(F.sum("pages_fetched").alias("pages_crawled"), F.sum("urls_found").alias("documents_indexed"), bad.alias("errors"), F.count("*").alias("n"))
-    return j.withColumn("status", F.when(F.col("errors") * 2 > F.col("n"), "failed").when(F.col("job_id") == "", "pending").otherwise("completed"))
-
-
 QUERIES = {
     "hourly_stats": lambda s, d: A.hourly_stats(_events(s, d), AS_OF, HOURS),
     "daily_stats": lambda s, d: A.daily_stats(_events(s, d), AS_OF, 40),
@@ -61,7 +53,6 @@ QUERIES = {
     "error_domains": lambda s, d: A.error_domains(_events(s, d), 10),
     "operation_totals": lambda s, d: A.operation_totals(_events(s, d)),
     "daily_filled": lambda s, d: A.daily_filled(_events(s, d), "2023-12-20", "2024-02-05"),
-    "system_stats": lambda s, d: A.system_stats(_jobs(_events(s, d))),
     "monitoring_windows": lambda s, d: A.rate_and_error_windows(_events(s, d)),
 }
 SQL = {
@@ -93,10 +84,6 @@ ORDER BY requests DESC, domain LIMIT 20""",
     "error_domains": f"SELECT domain, count(*) AS errors FROM request_events WHERE {_FAILED} GROUP BY 1 ORDER BY errors DESC, domain LIMIT 10",
     "operation_totals": "SELECT operation, grouping(operation)::INT AS is_total, sum(pages_fetched)::BIGINT AS requests, sum(content_length)::BIGINT AS bytes, sum(ai_prompt_tokens + ai_completion_tokens)::BIGINT AS tokens FROM request_events GROUP BY ROLLUP (operation)",
     "daily_filled": "SELECT d::DATE AS date, coalesce(p.pages, 0)::BIGINT AS pages FROM generate_series(DATE '2023-12-20', DATE '2024-02-05', INTERVAL 1 DAY) AS g(d) LEFT JOIN (SELECT timestamp::DATE AS date, sum(pages_fetched) AS pages FROM request_events GROUP BY 1) p ON p.date = d::DATE",
-    "system_stats": """WITH j AS (SELECT job_id, sum(pages_fetched) AS p, sum(urls_found) AS u, count(*) FILTER (WHERE status_code >= 400 OR status_code = 0) AS e, count(*) AS n FROM request_events GROUP BY 1),
-s AS (SELECT *, CASE WHEN e * 2 > n THEN 'failed' WHEN job_id = '' THEN 'pending' ELSE 'completed' END AS status FROM j)
-SELECT count(*) AS total, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed,
-count(*) FILTER (WHERE status = 'pending') AS pending, sum(p)::BIGINT AS pages_crawled, sum(u)::BIGINT AS documents_indexed, sum(e)::BIGINT AS errors FROM s""",
     "monitoring_windows": f"""WITH w AS (SELECT *, to_timestamp((floor(epoch(timestamp) / 900) - k) * 900) AS start FROM request_events, generate_series(0, 3) AS g(k))
 SELECT start, count(*) AS n, count(*) FILTER (WHERE {_FAILED}) AS failures, round(count(*) FILTER (WHERE {_FAILED}) / count(*)::DOUBLE, 6) AS error_ratio,
 round(quantile_cont(duration_ms, 0.5), 6) AS p50_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms FROM w GROUP BY 1""",
