@@ -21,25 +21,20 @@ def _slashes(u: Column) -> Column:
     return F.length(u) - F.length(F.replace(u, F.lit("/"), F.lit("")))
 
 
-def _serialised(u: Column) -> Column:
+def _serialised(u: Column, lowered: bool = False) -> Column:
     """What a URL parser would write: host in lower case, no default port, at least the path ``/``."""
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    m = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)(.*)$"
-    host = F.lower(F.regexp_extract(u, m, 1))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, ":(443)?$", "")).otherwise(host)
-    rest = F.regexp_extract(u, m, 2)
-    rest = F.when(rest.rlike("^/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+"), F.concat(scheme, F.lit("://"), host, rest)).otherwise(u)
+    if not lowered:
+        prefix = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
+        u = F.concat(F.lower(prefix), F.substr(u, F.length(prefix) + 1))
+    u = F.regexp_replace(u, r"^(http://[^/?#]*?):(?:80)?(?=[/?#]|$)|^(https://[^/?#]*?):(?:443)?(?=[/?#]|$)", "$1$2")
+    return F.regexp_replace(u, r"^([a-z][a-z0-9+.\-]*://[^/?#]+)(?=[?#]|$)", "$1/")
 
 
 def dedup_key(url: Column | str) -> Column:
     """Lower case; without fragment; without trailing slashes while more than two slashes are left; then without query."""
     u = F.regexp_replace(F.lower(_c(url)), "#.*$", "")
-    body = F.regexp_replace(u, "/+$", "")
-    tail = F.length(u) - F.length(body)
-    keep = F.greatest(F.lit(0), F.least(tail, F.lit(2) - _slashes(body)))
-    stripped = F.when(tail > 0, F.concat(body, F.repeat(F.lit("/"), keep.cast("int")))).otherwise(u)
-    return F.regexp_replace(_serialised(stripped), r"\?.*$", "")
+    stripped = F.regexp_replace(u, "^((?:[^/]*/){2}(?:.*[^/])?)/+$", "$1")
+    return F.regexp_replace(_serialised(stripped, lowered=True), r"\?.*$", "")
 
 
 def crawl_url(url: Column | str) -> Column:
