@@ -279,7 +279,7 @@ def identify(df: DataFrame, id_cols: list[str], text_col: str, model: Model | No
                         rows += [(k, *x) for x in segments(m, t, s)]
                 out = part[[f.name for f in kept]].iloc[[r[0] for r in rows]].reset_index(drop=True)
                 for c, name in enumerate(("seg_no", "lang", "confidence", "first_line", "last_line"), 1):
-                    out[name] = [r[c] for r in rows]
+                    out[name] = pd.Series([r[c] for r in rows], dtype="object")
                 yield out.astype({"seg_no": "int32", "confidence": "float64", "first_line": "int32", "last_line": "int32"})
 
     return df.select(*[f.name for f in kept], F.col(text_col).alias("__text")).mapInPandas(run, schema)

@@ -3,8 +3,8 @@
 Items are spread by a hash of their unique id over batches of about BATCH items, so no batch depends on how sizes or
 ids are distributed. Within a batch of total size S the number of windows is k = ceil(S / capacity). Every item
 begins as a partial partition (its size, and k - 1 zeros); the two partial partitions with the greatest spread are
-merged largest against smallest until one is left. If its greatest window exceeds the capacity, k rises and
-the batch is partitioned again. An item over the capacity is cut into full windows and a rest; only the rest is
+merged largest against smallest until one is left. If windows exceed the capacity, single items are exchanged with
+windows that have room; if some still do, k rises and the batch is partitioned again. An item over the capacity is cut into full windows and a rest; only the rest is
 packed with others. At most one window's worth of room is lost in a batch when its windows come out level.
 """
 
@@ -38,15 +38,15 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
         _, q = heapq.heappop(heap)
         (sa, na), (sb, nb) = parts.pop(p), parts.pop(q)
         a, b = len(sa), len(sb)
-        over = max(0, a + b - k)  # so many windows of a meet one of b: a's least with b's greatest
+        over = max(0, a + b - k)  # so many windows of a meet one of b, a's least b's greatest
         sums, nodes = np.concatenate((sa, sb[over:])), np.concatenate((na, nb[over:]))
         if over:
             tail = np.arange(a - over, a)
-            sums[tail] += sb[:over][::1]
+            sums[tail] += sb[:over][::-1]
             fresh = np.arange(made, made + over)
             if made + over > len(left):
                 left, right = np.append(left, np.full(len(left), -1)), np.append(right, np.full(len(right), -1))
-            left[fresh], right[fresh] = na[tail], nb[:over]
+            left[fresh], right[fresh] = na[tail], nb[:over][::-1]
             nodes[tail] = fresh
             made += over
         order = np.argsort(-sums, kind="stable")
@@ -69,6 +69,37 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
+def _exchange(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int) -> bool:
+    """Swap single items between over-full windows and those with room, in place; whether every window fits then."""
+    sums = np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
+    for w in sorted(np.flatnonzero(sums > capacity).tolist(), key=lambda x: -sums[x]):
+        room = np.argsort(sums, kind="stable")[:64]
+        for v in room.tolist():
+            if sums[w] <= capacity or sums[v] >= capacity:
+                break
+            over, free = sums[w] - capacity, capacity - sums[v]
+            if free < over:  # so much does not go in here: take what does
+                over = max(1, free // 2)
+            mine = np.flatnonzero(window == w)
+            theirs = np.append(np.flatnonzero(window == v), -1)  # or nothing in return
+            back = np.append(sizes[theirs[:-1]], 0)
+            order = np.argsort(back, kind="stable")
+            wanted = sizes[mine] - over  # the greatest item in return that still moves enough
+            at = np.searchsorted(back[order], wanted, side="right") - 1
+            ok = (at >= 0) & (sizes[mine] - back[order][np.maximum(at, 0)] <= free)
+            if not ok.any():
+                continue
+            moved = np.where(ok, sizes[mine] - back[order][np.maximum(at, 0)], np.iinfo(np.int64).max)
+            i = int(moved.argmin())
+            j = theirs[order[at[i]]]
+            window[mine[i]] = v
+            if j >= 0:
+                window[j] = w
+            sums[w] -= moved[i]
+            sums[v] += moved[i]
+    return bool((sums <= capacity).all())
+
+
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The window of each item (0 < size <= capacity), none over the capacity."""
     sizes = np.asarray(sizes, dtype=np.int64)
@@ -77,7 +108,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
         window = differencing(sizes, k)
-        if np.bincount(window, weights=sizes).max() <= capacity:
+        if np.bincount(window, weights=sizes).max() <= capacity or _exchange(sizes, window, k, capacity):
             return window
         k += max(1, k // 256)
 

@@ -1,0 +1,121 @@
+from skeinwork.functions.dom import parse
+from skeinwork.llm import main_content as M
+from skeinwork.llm import residue as R
+from skeinwork.llm import site_lines as L
+
+PROSE = "The harbour was quiet in the early morning and only a few boats had gone out to the deeper water beyond the lights, where the fish were said to be."
+PAGE = f"""<html><head><title>x</title></head><body><noscript>Enable JavaScript</noscript><div class="q1"><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></div>
+<div class="q2"><h1>Harbour</h1><p>{PROSE}</p><ul><li>One {PROSE}<li>Two</ul><table><tr><td>a</td><td>long cell</td></tr><tr><td>bb</td><td>c</td></tr></table>
+<pre>x = 1
+  y</pre><p style="display:none">hidden</p><p>Shared prompt</p></div><div class="q3"><p>Contact | Imprint</p><p>We use small files</p></div></body></html>"""
+
+
+def test_main_text():
+    text = M.main_text(PAGE)
+    assert text.startswith("Harbour\n\n" + PROSE) and "Home" not in text and "Imprint" not in text and "hidden" not in text and "JavaScript" not in text
+    assert f"- One {PROSE}\n- Two" in text and "a   long cell\nbb  c" in text and "x = 1\n  y" in text
+    assert M.main_text(None) is None and M.main_text("") is None and M.main_text("<script>x</script>") is None
+
+
+def test_layouts():
+    wraps = ["<main><article>{}</article></main>", "<table><tr><td>nav</td></tr><tr><td width=180>side text</td><td>{}</td></tr></table>", "<div id=app><div role=main>{}</div></div>", "<DIV CLASS=body>{}</DIV><HR>"]
+    for w in wraps:
+        page = "<body><header><a href=/>Home</a></header>" + w.format(f"<h1>T</h1><p>{PROSE}<p>{PROSE}") + "<footer><p>Imprint and other things of little interest to anyone</p></footer></body>"
+        text = M.main_text(page)
+        assert text == f"T\n\n{PROSE}\n\n{PROSE}", w
+
+
+def test_foreign_lines(spark):
+    pages = spark.createDataFrame([("u", 1, None), ("u", 2, PAGE), ("u", 3, "<p>other"), (None, 4, PAGE)], "url string, page_id long, html string")
+    content = f"Home · News\n{PROSE}\n\nHome\n- Two\nShared prompt\nWe  use small files\nunknown line"
+    docs = spark.createDataFrame([(2, "d", "u", "ignored"), (1, "d", "u", content), (3, "n", "u", None), (4, "m", "no page", "Home"), (5, "o", None, "Home")], "rec_id long, uid string, url string, content string")
+    assert sorted((r.uid, r.line_no) for r in M.foreign_lines(docs, pages).collect()) == [("d", 0), ("d", 3), ("d", 6)]
+    assert M.foreign_lines(docs.limit(0), pages.limit(0)).collect() == []
+
+
+def test_renderer_survives_anything():
+    for page in ("<", "<td>", "<table><table><li>", "</p></p>", "<p" * 50, "\x00<b>\x00", "<select><option>a", "<pre>\n\n</pre>"):
+        M.main_text(page)
+        R.lines_of_page(page)
+    assert parse("<pre>a").text() == "a"
+
+
+# --- residue --------------------------------------------------------------------------------------------------------
+
+
+def test_kinds():
+    kinds = {
+        "Internal server error. Please try again in a few minutes.": R.MESSAGE,
+        "Bitte schalten Sie JavaScript ein, um diese Seite zu sehen.": R.MESSAGE,
+        "404 - Page not found": R.MESSAGE,
+        "{{ page.title }} by __AUTHOR_NAME__": R.SLOT,
+        "In short, {product_name} counts {0} of {1} results for {2}.": R.SLOT,
+        "Lorem ipsum dolor sit amet consectetur adipisci elit sed": R.FILLER,
+        "asdf asdf asdf asdf asdf asdf asdf": R.FILLER,
+        "Norwick - ref 1ab2": R.LABEL,
+        PROSE: R.TEXT,
+        "A short real sentence.": R.TEXT,
+    }
+    assert {k: R.kind_of(k) for k in kinds} == kinds
+
+
+def test_prefix_tree():
+    tree = R.PrefixTree()
+    a = tree.add(R.mask("Gone: upstream timed out (120 ms) while reading, request ab12"))
+    b = tree.add(R.mask("upstream timed out (7 ms) while reading, request zz9"))
+    c = tree.add("upstream server gave no answer at all today")
+    assert a is b and c is not a
+    d = tree.add("solve the puzzle to go on ref abc")
+    assert tree.add("solve the puzzle to go on ref xyz") is d and d[-1] == "<*>"
+
+
+def test_residue_rows(spark):
+    message, quoted = "The page you requested could not be found.", "A good error page helps the reader to go on."
+    rows = [(1, message, None), (2, f"{PROSE} {PROSE}\n{message}", None), (3, None, None), (4, "", None), (5, "{{body}}\nNorwick", None), (6, "Just a title", "Just a title"), (7, "Coming soon. We are still building this page.\nNorwick", None)]
+    rows += [(20 + i, f"{PROSE} {PROSE} {i}\n{quoted}", None) for i in range(4)] + [(30, quoted, None), (31, "asdf " * 20, None), (32, f"A short real sentence.\n{message}", None)]
+    rows += [(100 + i, message, None) for i in range(50)]
+    df = spark.createDataFrame([(i, c, t, "x") for i, c, t in rows], "rec long, content string, title string, masked string")
+    found = {r.id for r in R.residue_rows(R.content_lines(df, "rec", "content", "title", "t")).collect()}
+    assert found == {1, 5, 7, 31, *range(100, 150)}  # 30 quotes what stands in articles elsewhere
+    assert R.residue_rows(R.content_lines(df.limit(0), "rec", "content", "title", "t")).collect() == []
+
+
+def test_residue_pages(spark):
+    shell = "<html><body><nav><a href=/>Home</a></nav><main><h1>{}</h1>{}</main><footer>Imprint of the whole company and its parts</footer></body></html>"
+    rows = [(1, shell.format("Norwick", "<p>Access denied. You do not have permission to view this resource."), "text/html"), (2, shell.format("T", f"<p>{PROSE}"), "text/html"), (3, "{\"error\": 1}", "application/json"), (4, "", "text/html"), (5, None, None), (6, "<html><body><noscript>Please enable JavaScript.</noscript><div id=app></div></body></html>", None)]
+    df = spark.createDataFrame(rows, "page long, html string, kind string")
+    assert {r.id for r in R.residue_rows(R.page_residue_lines(df, "page", "html", "kind", "p")).collect()} == {1, 6}
+
+
+# --- site lines -----------------------------------------------------------------------------------------------------
+
+DOCS = "rec_id long, uid string, host string, content string, lines_removed int"
+
+
+def site(spark):
+    rows = [(i, f"d{i % 40}", "hot", f"Unique line number {'x' * (i % 40)}\nAll rights  reserved {2000 + i}\nBack to top\n\nend", 0) for i in range(60)]
+    rows += [(100 + i, f"e{i}", "small", f"Only {chr(97 + i)}\nshared", 0) for i in range(4)]
+    rows += [(200, "n", None, "shared", 0), (201, "z", "hot", None, 0), (202, "y", "hot", "", 0)]
+    return spark.createDataFrame(rows, DOCS).repartition(4)
+
+
+def test_boilerplate(spark):
+    got = {(r.host, r.line): (r.docs, r.block) for r in L.boilerplate_lines(site(spark), "host", "uid", "content", "rec_id").collect()}
+    assert set(got) == {("hot", "all rights reserved #"), ("hot", "back to top"), ("hot", "end")}
+    assert {v[0] for v in got.values()} == {40} and len({v[1] for v in got.values()}) == 1
+    assert L.boilerplate_lines(site(spark).limit(0), "host", "uid", "content", "rec_id").collect() == []
+
+
+def test_removal(spark):
+    rows = {r.rec_id: r for r in L.remove_boilerplate(site(spark), "host", "uid", "content", "rec_id").collect()}
+    assert len(rows) == 67
+    assert rows[3].content == "Unique line number xxx\n" and rows[3].lines_removed == 3
+    assert rows[101].content == "Only b\nshared" and rows[200].content == "shared" and rows[201].content is None and rows[202].content == ""
+
+
+def test_thresholds_count_documents(spark):
+    rows = [(i, f"d{i}", "h", "same\nsame" if i < 5 else f"other {chr(65 + i)}", 0) for i in range(50)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert [r.line for r in L.boilerplate_lines(df, "host", "uid", "content", "rec_id").collect()] == ["same"]
+    more = df.union(spark.createDataFrame([(99, "more", "h", "more", 0)], DOCS))
+    assert L.boilerplate_lines(more, "host", "uid", "content", "rec_id").collect() == []  # 5 of 51 is under a tenth
