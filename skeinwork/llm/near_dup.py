@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LENGTH = 10
+LENGTH = 14
 PRIME = (1 << 31) - 1
 #: The fingerprint reads runs of this many words (of more if the similarity does), which unrelated texts hardly share;
 #: texts under WIDE_FROM words are fingerprinted by the runs of the similarity itself, those under NARROW_TO by both.
-WIDE, WIDE_FROM, NARROW_TO = 5, 40, 80
+WIDE, WIDE_FROM, NARROW_TO = 4, 40, 80
 #: The sketch has two bits for each of 64 ranges of the hash space. Texts of the similarity 0.6 agree in 45 ranges on
 #: average (standard deviation 3.7), unrelated ones in 16.
 SKETCH_RANGES, SKETCH_LEAST = 64, 29
@@ -113,7 +113,9 @@ def _fingerprint(text: str, width: int, furniture: frozenset) -> list[tuple[int,
         share = 1 - len(kept) / len(words)
         if share < WITHOUT_BELOW and len(kept) >= width:
             choices.append((0, kept, shingle_hashes(kept, width)))
-        if share > WITH_ABOVE or len(kept) < width:
+        else:  # mostly furniture: it may be like a text whose lines differ from furniture by an edit
+            choices.append((0, words, everything))
+        if share > WITH_ABOVE:
             choices.append((1, words, everything))
     else:
         choices.append((0, words, everything))
@@ -128,19 +130,31 @@ def _fingerprint(text: str, width: int, furniture: frozenset) -> list[tuple[int,
     return out
 
 
-def _furniture(texts: DataFrame, id_col: str, text_col: str) -> frozenset:
-    """Hashes of the lines in a large share of all texts; an exact count over all of them."""
+def _furniture(texts: DataFrame) -> frozenset:
+    """Hashes of the lines in a large share of the different texts; exact counts over all rows of (digest, text).
+
+    Rows are counted first; of the few lines that many rows have, copies of a text are then counted once.
+    """
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [h for t in pdf[text_col] if t is not None for h in {line_hash(x) for x in t.splitlines() if x.strip()}]
+            found = [h for t in pdf["text"] for h in {line_hash(x) for x in t.splitlines() if x.strip()}]
             counts = pd.Series(found, dtype="int64").value_counts()
             yield pd.DataFrame({"line": counts.index.astype("int64"), "n": counts.to_numpy()})
 
-    n = texts.count()
-    least = max(FURNITURE_MIN, int(FURNITURE_SHARE * n))
-    counted = texts.select(text_col).mapInPandas(lines, "line long, n long").groupBy("line").agg(F.sum("n").alias("n"))
-    return frozenset(r.line for r in counted.filter(F.col("n") > least).select("line").toLocalIterator())
+    least = max(FURNITURE_MIN, int(FURNITURE_SHARE * texts.count()))
+    counted = texts.select("text").mapInPandas(lines, "line long, n long").groupBy("line").agg(F.sum("n").alias("n"))
+    often = frozenset(r.line for r in counted.filter(F.col("n") > least).select("line").toLocalIterator())
+    if not often:
+        return often
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = {(h, d) for d, t in zip(pdf["digest"], pdf["text"]) for x in t.splitlines() if (h := line_hash(x)) in often}
+            yield pd.DataFrame(list(rows), columns=["line", "digest"])
+
+    distinct = texts.mapInPandas(held, "line long, digest binary").distinct().groupBy("line").agg(F.count("*").alias("n"))
+    return frozenset(r.line for r in distinct.filter(F.col("n") > least).select("line").toLocalIterator())
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -151,14 +165,15 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int =
     fewer than ``width`` words have no shingles and no partners; an empty table gives no pairs; other columns are ignored.
     """
     base = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    furniture = df.sparkSession.sparkContext.broadcast(_furniture(base, "id", "text"))
+    hashed = base.withColumn("digest", F.unhex(F.md5("text")))
+    furniture = df.sparkSession.sparkContext.broadcast(_furniture(hashed.select("digest", "text")))
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(i, d, *f) for i, d, t in zip(pdf["id"], pdf["digest"], pdf["text"]) for f in _fingerprint(t, width, furniture.value)]
             yield pd.DataFrame(rows, columns=["id", "digest", "kind", "s1", "s2", "anchors"])
 
-    raw = base.withColumn("digest", F.unhex(F.md5("text"))).mapInPandas(prints, "id long, digest binary, kind int, s1 long, s2 long, anchors array<long>")
+    raw = hashed.mapInPandas(prints, "id long, digest binary, kind int, s1 long, s2 long, anchors array<long>")
     reps = raw.groupBy("digest", "kind").agg(F.min_by(F.struct("id", "s1", "s2", "anchors"), "id").alias("r"))
     copied = reps.select(F.col("r.id").alias("id"), F.col("r.s1").alias("s1"), F.col("r.s2").alias("s2"), F.explode("r.anchors").alias("a"), "kind")
     copied = copied.select(F.xxhash64("a", "kind").alias("anchor"), "id", "s1", "s2")

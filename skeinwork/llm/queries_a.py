@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm.near_dup import near_duplicate_pairs, text_classes
-from skeinwork.session import table
+from skeinwork.operators.graph import connected_components
+from skeinwork.session import cut_lineage, table
 
 
 def _long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,4 +28,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("ua", "ub").alias("uid_a"), F.greatest("ua", "ub").alias("uid_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record: the group of like texts it belongs to (its least rec_id) and the links its text has to other texts."""
+    docs = _long_documents(spark, sf_dir)
+    classes = text_classes(docs, "rec_id", "content")
+    near = cut_lineage(near_duplicate_pairs(docs, "rec_id", "content", width=3, threshold=0.6))
+    linked = near.select(F.col("rep_a").alias("rep")).union(near.select("rep_b")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    groups = connected_components(near, "rep_a", "rep_b").select(F.col("node").alias("rep"), "component")
+    out = classes.join(linked, "rep", "left").join(groups, "rep", "left")
+    return out.select(F.col("id").alias("rec_id"), F.coalesce("component", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
