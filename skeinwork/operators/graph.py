@@ -1,6 +1,6 @@
 """Link graph: edges, degrees, PageRank, priority boosts, site maps; connected components.
 
-Iterations cut their lineage with checkpoints in the shared folder, never with local ones. No node list, edge list or
+Iterations cut their lineage with tables written to the shared folder. No node list, edge list or
 component is collected to the driver; the driver sees one number per round.
 """
 

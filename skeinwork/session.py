@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,23 +27,48 @@ def get_session(app: str = "skeinwork", cores: str = "*", shuffle_partitions: in
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the one the cluster names, else (tests only) a fresh local one."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the cluster names in spark.checkpoint.dir, else (tests only) a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not sc.master.startswith("local"):
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skeinwork-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL:
+        _LOCAL[key] = tempfile.mkdtemp(prefix="skeinwork-")
+    return _LOCAL[key]
+
+
+_LOCAL: dict[str, str] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back with a short plan (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written once to a table in the shared folder and read from there: a short plan that survives lost executors.
+
+    (A checkpoint would compute df a second time to write it.) The tables are removed when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/skeinwork-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def remove_written() -> None:
+    """Delete the tables written by cut_lineage; what they hold must not be needed any more."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            sc = spark.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session has already ended
+            pass
+    for folder in _LOCAL.values():
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
