@@ -52,7 +52,7 @@ class Model:
             kept.append(np.maximum(top, 0))
         return cols, peaks, np.concatenate(kept, axis=1)
 
-    def log_probabilities(self, windows: np.ndarray, batch: int = 256) -> np.ndarray:
+    def log_probabilities(self, windows: np.ndarray, batch: int = 64) -> np.ndarray:
         out = np.empty((len(windows), len(self.languages)), dtype=np.float32)
         for at in range(0, len(windows), batch):
             e = self.embedding[windows[at : at + batch]]
@@ -73,26 +73,20 @@ def _unrolled(e: np.ndarray, w: int) -> np.ndarray:
 def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all texts, in order, and the text each belongs to. Digits become 0 and white space a space;
     a text is padded with spaces to whole windows; one without any letter has no window."""
-    rows, owners = [], []
-    for k, text in enumerate(texts):
-        data = np.frombuffer(_CODE.sub(" ", text.lower()).encode("utf-8", "ignore"), dtype=np.uint8)
-        data = _CLASSES[data]
-        if not _LETTER[data].any():
-            continue
-        if len(data) > 1:  # runs of spaces count as one
-            data = data[np.append(True, (data[1:] != 32) | (data[:-1] != 32))]
-        n = -(-len(data) // WINDOW)
-        padded = np.full(n * WINDOW, 32, dtype=np.uint8)
-        padded[: len(data)] = data
-        rows.append(padded.reshape(n, WINDOW))
-        owners.append(np.full(n, k))
-    if not rows:
-        return np.empty((0, WINDOW), dtype=np.uint8), np.empty(0, dtype=np.int64)
-    return np.concatenate(rows), np.concatenate(owners)
+    parts = []
+    for text in texts:
+        low = text.lower()
+        data = (_CODE.sub(" ", low) if _SIGNS.search(low) else low).encode("utf-8", "ignore")
+        parts.append(data + b" " * (-len(data) % WINDOW))
+    owner = np.repeat(np.arange(len(parts)), [len(p) // WINDOW for p in parts])
+    windows = _CLASSES[np.frombuffer(b"".join(parts), dtype=np.uint8)].reshape(-1, WINDOW)
+    kept = np.bincount(owner, weights=_LETTER[windows].any(axis=1), minlength=len(parts))[owner] > 0
+    return windows[kept], owner[kept]
 
 
 #: Runs of characters that are no words of any language: encoded data, addresses, code.
 _CODE = re.compile(r"\S{33,}|https?:\S+|\S*\w[_=(){}\[\]<>/\\|#@&;+]\w\S*")
+_SIGNS = re.compile(r"[_=(){}\[\]<>/\\|#@&;+]|\S{33}")
 _CLASSES = np.arange(256, dtype=np.uint8)
 _CLASSES[:33] = 32
 _CLASSES[ord("0") : ord("9") + 1] = ord("0")

@@ -14,10 +14,13 @@ def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment of every document, with its confidence and the label the document came with."""
     known = [r.code for r in table(spark, sf_dir, "lang_codes").limit(1000).collect()]
     docs = table(spark, sf_dir, "crawl_documents").select("rec_id", "uid", "content", "language")
-    own = docs.filter(F.length("content") > 0)
-    first = own.groupBy("uid").agg(F.min("rec_id").alias("rec_id")).select("rec_id")
     model = train_on(docs, "content", "language", known)
-    return identify(own.join(first, "rec_id", "left_semi"), ["rec_id", "uid", "language"], "content", model)
+    # all deliveries are read, and of the small results those of each document's first delivery are kept: no text is shuffled
+    found = identify(docs.filter(F.length("content") > 0), ["rec_id", "uid", "language"], "content", model)
+    parts = F.collect_list(F.struct("seg_no", "lang", "confidence", "first_line", "last_line"))
+    each = found.groupBy("uid", "rec_id").agg(F.first("language").alias("language"), parts.alias("parts"))
+    first = each.groupBy("uid").agg(F.min_by(F.struct("rec_id", "language", "parts"), "rec_id").alias("d"))
+    return first.select("uid", "d.rec_id", "d.language", F.explode("d.parts").alias("p")).select("rec_id", "uid", "language", "p.*")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
