@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LENGTH = 14
+LENGTH = 12
 PRIME = (1 << 31) - 1
 #: The fingerprint reads runs of this many words (of more if the similarity does), which unrelated texts hardly share;
 #: texts under WIDE_FROM words are fingerprinted by the runs of the similarity itself, those under NARROW_TO by both.
