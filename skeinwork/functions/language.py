@@ -22,6 +22,7 @@ WORDS = {
     "tr": "ve bir bu için ile da de olarak çok daha en gibi kadar sonra ama olan",
 }
 SCRIPTS = {"ru": "Ѐ-ӿ", "el": "Ͱ-Ͽ", "ar": "؀-ۿ", "he": "֐-׿", "hi": "ऀ-ॿ", "th": "฀-๿", "ko": "가-힯", "ja": "぀-ヿ", "zh": "一-鿿"}
+_BEYOND = re.compile("[\u0370-\uffff]")
 _WORD = re.compile(r"[^\W\d_]+")
 _SETS = {code: frozenset(words.split()) for code, words in WORDS.items()}
 
@@ -30,11 +31,12 @@ def detect(text: str | None, least: float = MIN_CONFIDENCE) -> tuple[str | None,
     """(code, confidence); the code is None for texts under 50 bytes and where the confidence is under ``least``."""
     if not text or len(text.encode()) < MIN_BYTES:
         return None, 0.0
-    letters = sum(c.isalpha() for c in text)
-    for code, span in SCRIPTS.items():
-        n = len(re.findall(f"[{span}]", text))
-        if letters and n > 0.4 * letters:
-            return code, min(1.0, 0.5 + n / letters / 2)
+    if len(_BEYOND.findall(text)) > 0.2 * len(text):  # else no script can reach its share of the letters
+        letters = sum(c.isalpha() for c in text)
+        for code, span in SCRIPTS.items():
+            n = len(re.findall(f"[{span}]", text))
+            if letters and n > 0.4 * letters:
+                return code, min(1.0, 0.5 + n / letters / 2)
     counts = Counter(_WORD.findall(text.lower()))
     scores = {code: sum(counts[w] for w in words) for code, words in _SETS.items()}
     best = max(scores, key=scores.__getitem__)

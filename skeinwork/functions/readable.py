@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from skeinwork.functions.dom import VOID, Node
-from skeinwork.functions.selectors import select
+from skeinwork.functions.selectors import first_of_each
 
 # fixed values: elements without content, and words in class and id that speak for and against content
 SKIPPED = frozenset("head script style noscript iframe svg nav footer header aside form button input select textarea".split())
@@ -84,8 +84,7 @@ def is_garbage(text: str) -> bool:
 
 def extract_content(root: Node) -> str:
     """The first semantic container with more than 200 bytes of text, else the best-scored section with a score over 50, else the body."""
-    for selector in ROOTS:
-        hit = next(iter(select(root, selector)), None)
+    for hit in first_of_each(root, ROOTS):
         if hit is not None and _bytes(text := element_text(hit)) > MIN_ROOT:
             return text
     best, most = None, 0.0
@@ -121,7 +120,7 @@ def heading_blocks(root: Node, least: int = 2, most: int = 6, min_bytes: int = 5
     Text before the first heading is a block of its own; a splitting heading's text is no content, another's is. Blocks of fewer
     than min_bytes bytes are left out before numbering; max_blocks 0 stands for all.
     """
-    top = next((hit[0] for s in BLOCK_ROOTS if (hit := select(root, s))), None)
+    top = next((hit for hit in first_of_each(root, BLOCK_ROOTS) if hit is not None), None)
     if top is None:
         return [], False
     above: dict[int, str] = {}

@@ -51,12 +51,11 @@ def _compound(text: str) -> Test:
             raise ValueError(f"not a selector: {text!r}")
         at = m.end()
         if m["tag"]:
-            if m["tag"] != "*":
-                tests.append(lambda n, t=m["tag"].lower(): n.tag == t)
+            tests.append((lambda n: True) if m["tag"] == "*" else lambda n, t=m["tag"].lower(): n.tag == t)
         elif m["id"]:
             tests.append(lambda n, v=m["id"]: n.attrs.get("id") == v)
         elif m["cls"]:
-            tests.append(lambda n, v=m["cls"]: v in n.attrs.get("class", "").split())
+            tests.append(lambda n, v=m["cls"]: "class" in n.attrs and v in n.attrs["class"].split())
         elif m["attr"]:
             tests.append(_compare(m["attr"].lower(), m["op"], next((m[k] for k in "qsb" if m[k] is not None), "")))
         elif m["not"] is not None:
@@ -66,6 +65,8 @@ def _compound(text: str) -> Test:
             tests.append(lambda n, e=end: n.parent is not None and _elements(n.parent)[e] is n)
     if not text:
         raise ValueError("empty selector")
+    if len(tests) == 1:
+        return tests[0]
     return lambda n: all(t(n) for t in tests)
 
 
@@ -122,6 +123,8 @@ def _complex(text: str) -> Test:
             parent = parent.parent
         return False
 
+    if len(steps) == 1:
+        return steps[0][1]
     return lambda n: fits(n, len(steps) - 1)
 
 
@@ -140,6 +143,22 @@ def select(root: Node, selector: str) -> list[Node]:
     return [n for n in root.walk() if n is not root and test(n)]
 
 
+def first_of_each(root: Node, selectors: list[str]) -> list[Node | None]:
+    """The first of what ``select`` finds for each selector, in one walk."""
+    out: list[Node | None] = [None] * len(selectors)
+    open_ = [(k, compile_selector(s)) for k, s in enumerate(selectors)]
+    for node in root.walk():
+        if node is root:
+            continue
+        for entry in open_:
+            if entry[1](node):
+                out[entry[0]] = node
+                open_ = [e for e in open_ if e is not entry]
+        if not open_:
+            break
+    return out
+
+
 @dataclass(frozen=True)
 class FieldRule:
     """How a field is extracted. mode: text, html, outer_html, attribute, first, list, list_of_objects, count."""

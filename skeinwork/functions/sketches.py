@@ -23,10 +23,8 @@ def _blocks(messages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = len(messages)
     lengths = np.fromiter(map(len, messages), dtype=np.int64, count=n)
     blocks = lengths // 8 + 1
-    data = np.zeros((n, (int(blocks.max()) if n else 0) * 8), dtype=np.uint8)
-    for i, m in enumerate(messages):
-        data[i, : len(m)] = np.frombuffer(m, dtype=np.uint8)
-    words = data.view("<u8").astype(np.uint64)
+    width = 8 * (int(blocks.max()) if n else 0)
+    words = np.frombuffer(b"".join(m.ljust(width, b"\0") for m in messages), dtype="<u8").astype(np.uint64).reshape(n, -1)
     words[np.arange(n), blocks - 1] |= (lengths.astype(np.uint64) & _U(0xFF)) << _U(56)
     return words, blocks
 
@@ -72,7 +70,14 @@ def sip13(messages: list[bytes], k0: int | np.ndarray = 0, k1: int | np.ndarray
 
 def token_hashes(tokens: list[str], kind: str = "sip13") -> np.ndarray:
     if kind == "sip13":
-        return sip13([t.encode() + b"\xff" for t in tokens])
+        messages = [t.encode() + b"\xff" for t in tokens]
+        out = np.empty(len(messages), dtype=np.uint64)
+        # alike lengths together, so that one long token does not widen all
+        sizes = np.fromiter((len(m) // 8 + 1 for m in messages), dtype=np.int64, count=len(messages))
+        for size in np.unique(sizes):
+            own = np.flatnonzero(sizes == size)
+            out[own] = sip13([messages[i] for i in own])
+        return out
     if kind == "xxhash64":
         return np.array([xxhash.xxh64_intdigest(t) for t in tokens], dtype=np.uint64)
     if kind == "md5hex":
@@ -82,7 +87,7 @@ def token_hashes(tokens: list[str], kind: str = "sip13") -> np.ndarray:
 
 def normal_words(text: str) -> list[str]:
     """Words of the text in lower case with all but letters, digits and white space deleted (not spaced)."""
-    return "".join(c for c in text.lower() if c.isalnum() or c.isspace()).split()
+    return "".join([c for c in text.lower() if c.isalnum() or c.isspace()]).split()
 
 
 def shingles(text: str) -> list[str]:
@@ -91,12 +96,24 @@ def shingles(text: str) -> list[str]:
     return [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else w
 
 
+def simhash_many(token_lists: list[list[str]], kind: str = "sip13") -> list[int]:
+    """The majority of each bit over each list's token hashes; ties and empty lists give 0 bits."""
+    sizes = np.fromiter(map(len, token_lists), dtype=np.int64, count=len(token_lists))
+    out = [0] * len(token_lists)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    h = token_hashes([t for tokens in token_lists for t in tokens], kind)
+    starts = (np.cumsum(sizes) - sizes)[full]
+    ones = np.stack([np.add.reduceat(((h >> _U(63 - b)) & _U(1)).astype(np.int64), starts) for b in range(64)], axis=1)
+    found = np.packbits(2 * ones > sizes[full][:, None], axis=1).view(">i8")[:, 0]
+    for k, v in zip(full.tolist(), found.tolist()):
+        out[k] = v
+    return out
+
+
 def simhash_tokens(tokens: list[str], kind: str = "sip13") -> int:
-    """The majority of each bit over the tokens' hashes; ties and no tokens give 0 bits."""
-    if not tokens:
-        return 0
-    bits = np.unpackbits(token_hashes(tokens, kind).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(tokens)).view(">i8")[0])
+    return simhash_many([tokens], kind)[0]
 
 
 def simhash(text: Column | str, kind: str = "sip13") -> Column:
@@ -104,7 +121,12 @@ def simhash(text: Column | str, kind: str = "sip13") -> Column:
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else simhash_tokens(shingles(t), kind) for t in texts], dtype="Int64")
+        out: list[int | None] = []
+        for at in range(0, len(texts), 256):
+            part = texts.iloc[at : at + 256].tolist()
+            found = simhash_many([[] if t is None else shingles(t) for t in part], kind)
+            out += [None if t is None else h for t, h in zip(part, found)]
+        return pd.Series(out, dtype="Int64")
 
     return run.asNondeterministic()(text)
 

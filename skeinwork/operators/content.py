@@ -26,6 +26,7 @@ def _content(root: Node, url: str | None) -> str | None:
 
 
 def _language(root: Node, url: str | None) -> str | None:
+    """Where the content is asked for as well, ``extract`` reads it from there."""
     text = _content(root, url)
     return detect(text)[0] if text else None
 
@@ -99,7 +100,11 @@ def extract(pages: DataFrame, features: list[str], html_col: str = "html", url_c
             for page, url in zip(pdf["__html"], urls):
                 root = prepared(page) if page else None
                 for n in own:
-                    out[n].append(work[n](root, url) if root is not None else None)
+                    if n == "language" and "content" in own and root is not None:
+                        text = out["content"][-1] if own.index("content") < own.index("language") else _content(root, url)
+                        out[n].append(detect(text)[0] if text else None)
+                    else:
+                        out[n].append(work[n](root, url) if root is not None else None)
                 if rules:
                     out["fields"].append(json.dumps(extract_fields(root, rules)[0], ensure_ascii=False, sort_keys=True) if root is not None else None)
             result = pdf[columns].copy()
