@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH = 4096
+BATCH, MOST_PARTITIONS = 4096, 20_000
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -137,7 +137,8 @@ def pack_items(items: DataFrame, id_col: str, size_col: str, capacity: int, n_it
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "piece_no": no.astype("int32"), "start": start, "size": size})
 
     pieces = own.mapInPandas(cut, "id long, piece_no int, start long, size long")
-    pieces = pieces.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)))
+    # a fixed number of partitions: the rows are small but the work on them is not, so they must not be coalesced by size
+    pieces = pieces.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))).repartition(min(batches, MOST_PARTITIONS), "batch")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id", "piece_no"], ascending=[False, True, True], kind="stable")
