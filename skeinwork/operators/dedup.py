@@ -18,11 +18,13 @@ def first_of_each(rows: DataFrame, key: Column, order: list[Column], name: str =
 def unique_urls(urls: DataFrame, url_col: str, order: list[Column]) -> DataFrame:
     """One row per address in its de-duplicated form. Exact: unlike a filter of bits it never takes a new address for a seen one.
 
-    Rows are reduced to the first of each key within every task before the shuffle (min_by is combined map-side).
+    Rows are reduced to the first of each key within every task before the shuffle (min_by is combined map-side). Null addresses
+    are one address; a column dedup_key of urls is replaced.
     """
-    keyed = urls.withColumn("dedup_key", dedup_key(url_col))
-    packed = F.min_by(F.struct(*[F.col(c) for c in keyed.columns if c != "dedup_key"]), F.struct(*[c.alias(f"__{k}") for k, c in enumerate(order)]))
-    return keyed.groupBy("dedup_key").agg(packed.alias("r")).select("dedup_key", *[F.col(f"r.{c}").alias(c) for c in urls.columns])
+    names = [c for c in urls.columns if c != "dedup_key"]
+    keyed = urls.select(*names, dedup_key(url_col).alias("dedup_key"))
+    packed = F.min_by(F.struct(*[F.col(c) for c in names]), F.struct(*[c.alias(f"__{k}") for k, c in enumerate(order)]))
+    return keyed.groupBy("dedup_key").agg(packed.alias("r")).select("dedup_key", *[F.col(f"r.{c}").alias(c) for c in names])
 
 
 def filter_unseen(urls: DataFrame, seen: DataFrame, url_col: str, seen_col: str) -> DataFrame:

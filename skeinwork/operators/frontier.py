@@ -37,7 +37,7 @@ def levelled_order(queue: DataFrame, priority_col: str = "priority", weights: tu
     own = queue.withColumn("level", level_of(F.col(priority_col)))
     ranked = dense_position(own, ["level"], [F.desc(priority_col), F.col("url")])
     weight = F.when(F.col("level") == "high", weights[0]).when(F.col("level") == "normal", weights[1]).otherwise(weights[2])
-    return ranked.withColumn("turn", F.floor((F.col("position") - 1) / weight)).select(*queue.columns, "level", "turn", "position")
+    return ranked.withColumn("turn", F.floor((F.col("position") - 1) / weight)).select(*[c for c in queue.columns if c not in ("level", "turn", "position")], "level", "turn", "position")
 
 
 def dense_position(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -82,6 +82,7 @@ def recrawl_decisions(urls: DataFrame, history: DataFrame, as_of: str, forced_in
     In this order: no record, crawl; younger than an hour, skip; a forced interval that is over; older than a week;
     older than the record's interval (with a boost where more than half of its crawls changed); else skip.
     Addresses meet trimmed and in lower case; of several records of an address the latest counts. A null age counts as endless.
+    Columns of urls with the names of the result are replaced.
     """
     h = history.select(history_key("url").alias("__key"), *[F.col(c).alias(f"__{c}") for c in ("last_crawled_at", "crawl_count", "change_count", "recrawl_interval_secs", "etag", "last_modified")])
     h = h.groupBy("__key").agg(F.max_by(F.struct(*[c for c in h.columns if c != "__key"]), "__last_crawled_at").alias("h"))
@@ -89,7 +90,7 @@ def recrawl_decisions(urls: DataFrame, history: DataFrame, as_of: str, forced_in
     rate = change_rate(F.col("h.__change_count"), F.col("h.__crawl_count"))
     interval = F.col("h.__recrawl_interval_secs")
     forced = F.lit(False) if forced_interval is None else age >= forced_interval
-    j = urls.join(h, history_key(F.col("url")) == F.col("__key"), "left").withColumn("__age", age).withColumn("__rate", rate)
+    j = urls.drop("reason").join(h, history_key(F.col("url")) == F.col("__key"), "left").withColumn("__age", age).withColumn("__rate", rate)
     reason = (
         F.when(F.col("__key").isNull(), "first_crawl")
         .when(F.col("__age") < MIN_AGE, "too_recent")
@@ -104,7 +105,8 @@ def recrawl_decisions(urls: DataFrame, history: DataFrame, as_of: str, forced_in
     gain = F.when(F.col("reason") == "max_age", 5).when(F.col("reason") == "high_change_rate", (F.lit(boost) * F.col("__rate")).cast("int")).otherwise(0)
     retry = F.when(F.col("reason") == "too_recent", F.lit(MIN_AGE) - F.col("__age")).when(F.col("reason") == "not_due", interval - F.col("__age"))
     cond = crawl & (F.col("reason") != "first_crawl") & (F.col("h.__etag").isNotNull() | F.col("h.__last_modified").isNotNull())
-    return j.select(*urls.columns, F.when(crawl, "crawl").otherwise("skip").alias("decision"), "reason", gain.alias("priority_boost"), retry.alias("retry_after"), cond.alias("use_conditional"))
+    made = ("decision", "reason", "priority_boost", "retry_after", "use_conditional")
+    return j.select(*[c for c in urls.columns if c not in made], F.when(crawl, "crawl").otherwise("skip").alias("decision"), "reason", gain.alias("priority_boost"), retry.alias("retry_after"), cond.alias("use_conditional"))
 
 
 def fold_history(crawls: DataFrame, order: list[str]) -> DataFrame:

@@ -75,3 +75,12 @@ def test_dedup(spark):
 def test_changefreq(spark):
     df = spark.createDataFrame([("Daily",), ("never",), ("odd",), (None,), ("always",)], "v string")
     assert [r.s for r in df.select(Q.changefreq_seconds("v").alias("s")).collect()] == [86400, None, None, None, 0]
+
+
+def test_clashing_names(spark):
+    u = spark.createDataFrame([("http://e.com/a", 1, "x", "y", "z", 3)], "url string, priority int, reason string, level string, dedup_key string, position int")
+    h = spark.createDataFrame([], "url string, last_crawled_at timestamp, crawl_count int, change_count int, recrawl_interval_secs bigint, etag string, last_modified string")
+    assert Q.recrawl_decisions(u, h, AS_OF).first().reason == "first_crawl"
+    assert Q.levelled_order(u).first().level == "normal"
+    assert D.unique_urls(u, "url", [F.col("priority")]).first().dedup_key == "http://e.com/a"
+    assert Q.recrawl_decisions(u.limit(0), h, AS_OF).collect() == []
