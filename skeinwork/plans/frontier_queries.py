@@ -164,6 +164,13 @@ b AS (SELECT url, priority, CASE WHEN score IS NULL OR score < 0.0001 THEN 0 ELS
 SELECT url, priority, boost, priority + boost AS boosted FROM b""",
     "site_map": f"""WITH RECURSIVE {_EDGES}, r AS (SELECT DISTINCT {_KEY} AS node, 0 AS depth FROM crawl_urls WHERE depth = 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 5)
 SELECT node, min(depth) AS depth FROM r GROUP BY node""",
+    "link_components": f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e),
+r AS (SELECT node, node AS c FROM v UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.node) SELECT node, min(c) AS component FROM r GROUP BY node""",
+    "crawl_history": """WITH f AS (SELECT lower(trim(url)) AS url, sha256(html) AS h, fetched_at, page_id, row_number() OVER w AS n, lag(sha256(html)) OVER w AS old FROM raw_pages WINDOW w AS (PARTITION BY lower(trim(url)) ORDER BY fetched_at, page_id)),
+g AS (SELECT url, count(*) AS crawl_count, coalesce(list(CASE WHEN coalesce(h = old, false) THEN 0 ELSE 1 END ORDER BY n) FILTER (WHERE n > 1), []) AS s, max(n) AS last FROM f GROUP BY url)
+SELECT g.url, crawl_count, coalesce(list_sum(s), 0)::INT AS change_count,
+list_reduce(list_prepend(86400.0::DOUBLE, list_transform(s, lambda v: v::DOUBLE)), lambda a, v: CASE WHEN v = 1 THEN greatest(floor(a * 0.5), 3600) ELSE least(floor(a * 1.5), 604800) END)::BIGINT AS recrawl_interval_secs,
+f.fetched_at AS last_crawled_at, f.h AS content_hash FROM g JOIN f ON f.url = g.url AND f.n = g.last""",
     "graph_stats": f"""{_RANK}, d AS (SELECT node, coalesce(i.n, 0) AS inbound, coalesce(o.n, 0) AS outbound FROM v LEFT JOIN (SELECT dst, count(*) AS n FROM e GROUP BY 1) i ON i.dst = node LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY 1) o ON o.src = node)
 SELECT count(*) AS pages, sum(outbound)::BIGINT AS links, round(min(score), 9) AS min_score, round(max(score), 9) AS max_score, round(avg(score), 9) AS avg_score, min(inbound) AS min_inbound, max(inbound) AS max_inbound, round(avg(inbound), 9) AS avg_inbound FROM d JOIN s20 USING (node)""",
 }
