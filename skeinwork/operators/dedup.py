@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork.functions.urls import dedup_key
+from skeinwork.session import cut_lineage
 
 
 def first_of_each(rows: DataFrame, key: Column, order: list[Column], name: str = "dedup_key") -> DataFrame:
@@ -62,3 +63,15 @@ def latest_by(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Upsert: the last row of each key. order: descending columns that settle ties."""
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") == 1).drop("__rank")
+
+
+def drop_repeats(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key by ``order`` (a unique column without nulls); null keys are one key.
+
+    Only keys and order are shuffled to find the rows to leave out. These are written to the shared folder, so that their
+    size is known when the join is planned: few of them are broadcast by Spark and wide rows stay where they are; many are
+    joined by sorting.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    repeats = rows.select(*keys, order).withColumn("__rank", F.row_number().over(w)).filter("__rank > 1").select(F.col(order).alias("__repeat"))
+    return rows.join(cut_lineage(repeats), F.col(order) == F.col("__repeat"), "left_anti")

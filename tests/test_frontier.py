@@ -72,6 +72,12 @@ def test_dedup(spark):
     assert {r.n for r in D.latest_by(df.fillna("x", ["url"]), "url", [F.desc("n")]).collect()} == {1, 2}
 
 
+def test_drop_repeats(spark):
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z"), (None, 5, "p"), (None, 4, "q")], "k string, n long, t string")
+    assert {(r.k, r.n, r.t) for r in D.drop_repeats(df, ["k"], "n").collect()} == {("a", 1, "y"), ("b", 2, "z"), (None, 4, "q")}
+    assert D.drop_repeats(df.limit(0), ["k"], "n").collect() == []
+
+
 def test_changefreq(spark):
     df = spark.createDataFrame([("Daily",), ("never",), ("odd",), (None,), ("always",)], "v string")
     assert [r.s for r in df.select(Q.changefreq_seconds("v").alias("s")).collect()] == [86400, None, None, None, 0]
