@@ -84,21 +84,25 @@ def graph_stats(edges: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def site_map(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, limit: int = 10_000) -> DataFrame:
+def site_map(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, limit: int | None = 10_000) -> DataFrame:
     """Breadth-first levels from the seeds (one column ``node``): ``node, depth``; at most ``limit`` pages in all, within a
-    level by address."""
-    reached = cut_lineage(seeds.select("node").distinct().orderBy("node").limit(limit).withColumn("depth", F.lit(0)))
+    level by address; None for all. Null seeds are left out."""
+
+    def first(level: DataFrame, n: int | None) -> DataFrame:
+        return level if n is None else level.orderBy("node").limit(n)
+
+    reached = cut_lineage(first(seeds.select("node").filter("node IS NOT NULL").distinct(), limit).withColumn("depth", F.lit(0)))
     front = reached
-    left = limit - reached.count()
+    left = None if limit is None else limit - reached.count()
     for depth in range(1, max_depth + 1):
-        if left <= 0:
+        if left is not None and left <= 0:
             break
         found = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = cut_lineage(found.join(reached, "node", "left_anti").orderBy("node").limit(left).withColumn("depth", F.lit(depth)))
+        front = cut_lineage(first(found.join(reached, "node", "left_anti"), left).withColumn("depth", F.lit(depth)))
         new = front.count()
         if not new:
             break
-        left -= new
+        left = None if left is None else left - new
         reached = reached.unionByName(front)
     return reached
 

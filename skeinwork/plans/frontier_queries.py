@@ -104,7 +104,7 @@ def boosted_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
     seeds = _urls(spark, sf_dir).filter("depth = 0").select(U.graph_key("url").alias("node"))
-    return G.site_map(edges, seeds, 5, 1_000_000)
+    return G.site_map(edges, seeds, 5, None)
 
 
 def link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
