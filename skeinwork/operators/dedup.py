@@ -10,12 +10,6 @@ from skeinwork.functions.urls import dedup_key
 from skeinwork.session import cut_lineage
 
 
-def first_of_each(rows: DataFrame, key: Column, order: list[Column], name: str = "dedup_key") -> DataFrame:
-    """The first row of each key in the given order (nulls of the key form one group); ``name`` holds the key."""
-    w = Window.partitionBy(name).orderBy(*order)
-    return rows.withColumn(name, key).withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") == 1).drop("__rank")
-
-
 def unique_urls(urls: DataFrame, url_col: str, order: list[Column]) -> DataFrame:
     """One row per address in its de-duplicated form. Exact: unlike a filter of bits it never takes a new address for a seen one.
 
