@@ -22,7 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwork.operators.dedup import drop_repeats
+from skeinwork.session import cut_lineage
+
 MIN_DOCS, MIN_SHARE = 5, 0.1
+#: Kept lines are handed to the tasks as a set of hashes only up to so many (counted first).
+BROADCAST_NODES = 200_000
 
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
@@ -41,8 +46,7 @@ def _once(docs: DataFrame, host_col: str, doc_col: str, text_col: str, rec_col:
     """host, doc, text of one delivery per document (that of the least rec_col), with non-null text and host."""
     own = docs.filter(F.col(text_col).isNotNull() & F.col(host_col).isNotNull())
     own = own.select(F.col(host_col).alias("host"), F.col(doc_col).alias("doc"), F.col(text_col).alias("text"), F.col(rec_col).alias("rec"))
-    first = own.groupBy("doc", "host").agg(F.min("rec").alias("rec")).select("rec")
-    return own.join(first, "rec", "left_semi")
+    return drop_repeats(own, ["doc", "host"], "rec")
 
 
 _COUNTS = "host string, kind int, node long, after long, n long"
@@ -68,6 +72,7 @@ def line_supports(docs: DataFrame, host_col: str, doc_col: str, text_col: str, r
     # one row per host is joined to its frequent lines; lines are spread, hosts are not collected
     hosts = frequent.filter(F.col("kind") == _HOST).select("host", F.col("docs").alias("host_docs"))
     kept = frequent.filter(F.col("kind") != _HOST).join(hosts, "host").filter(F.col("docs") >= MIN_SHARE * F.col("host_docs"))
+    kept = cut_lineage(kept.select("host", "kind", "node", "after", "docs"))  # small, and used twice
     nodes = kept.filter(F.col("kind") == _NODE).select("host", "node", "docs")
     return nodes, kept.filter(F.col("kind") == _EDGE).select("host", "node", "after", "docs")
 
@@ -90,6 +95,13 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
     return nodes
 
 
+def _shared_nodes(nodes: DataFrame):
+    """A broadcast set of the node hashes (which hold the host), or None if there are more than BROADCAST_NODES."""
+    if nodes.count() > BROADCAST_NODES:
+        return None
+    return nodes.sparkSession.sparkContext.broadcast(frozenset(r.node for r in nodes.select("node").toLocalIterator()))
+
+
 def boilerplate_lines(docs: DataFrame, host_col: str, doc_col: str, text_col: str, rec_col: str) -> DataFrame:
     """``host, line, docs, block``: each line repeated excessively within its host, and the block it belongs to.
 
@@ -100,10 +112,15 @@ def boilerplate_lines(docs: DataFrame, host_col: str, doc_col: str, text_col: st
     blocks = graph.groupBy("host").applyInPandas(_components, "host string, node long, docs long, block long")
     own = docs.filter(F.col(text_col).isNotNull() & F.col(host_col).isNotNull()).select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
 
+    blocks = cut_lineage(blocks)
+    wanted = _shared_nodes(blocks)
+
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = wanted.value if wanted is not None else None
         for pdf in batches:
             found = {(h, x) for h, t in zip(pdf["host"], pdf["text"]) for x in map(normal_line, t.split("\n")) if x}
-            yield pd.DataFrame([(h, _hash(h, x), x) for h, x in found], columns=["host", "node", "line"])
+            rows = [(h, n, x) for h, x in found if (n := _hash(h, x)) is not None and (known is None or n in known)]
+            yield pd.DataFrame(rows, columns=["host", "node", "line"])
 
     spelled = own.mapInPandas(spell, "host string, node long, line string")
     named = spelled.join(blocks, ["host", "node"]).groupBy("host", "node").agg(F.min("line").alias("line"), F.first("docs").alias("docs"), F.first("block").alias("block"))
@@ -117,31 +134,31 @@ def remove_boilerplate(docs: DataFrame, host_col: str, doc_col: str, text_col: s
     A lines_removed column of docs is replaced.
     """
     nodes, _ = line_supports(docs, host_col, doc_col, text_col, rec_col)
-    per_host = nodes.groupBy("host").agg(F.collect_set("node").alias("__nodes")).withColumnRenamed("host", "__host")
     rows = docs.drop("lines_removed")
-    joined = rows.join(per_host, F.col(host_col) == F.col("__host"), "left").drop("__host")
-    schema = T.StructType([*rows.schema.fields, T.StructField("lines_removed", T.IntegerType())])
     names, at = rows.columns, rows.columns.index(text_col)
+    schema = T.StructType([*rows.schema.fields, T.StructField("lines_removed", T.IntegerType())])
+    shared = _shared_nodes(nodes)
+    if shared is None:  # too many for every task: the lines of a host travel with its rows
+        per_host = nodes.groupBy("host").agg(F.collect_set("node").alias("__nodes")).withColumnRenamed("host", "__host")
+        rows = rows.join(per_host, F.col(host_col) == F.col("__host"), "left").drop("__host")
 
-    def clean(batches: Iterator) -> Iterator:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, removed = [], []
-            hosts, found, nodes_ = b.column(host_col).to_pylist(), b.column(text_col).to_pylist(), b.column("__nodes")
-            seen: dict[str, frozenset] = {}
+            hosts, found = b.column(host_col).to_pylist(), b.column(text_col).to_pylist()
+            carried = None if shared is not None else b.column("__nodes")
             for k, (h, t) in enumerate(zip(hosts, found)):
-                if t is not None and nodes_[k].is_valid:
-                    own = seen.get(h)
-                    if own is None:
-                        own = seen[h] = frozenset(nodes_[k].as_py())
-                    lines = t.split("\n")
-                    left = [x for x in lines if not ((y := normal_line(x)) and _hash(h, y) in own)]
-                    texts.append("\n".join(left))
-                    removed.append(len(lines) - len(left))
-                else:
+                own = shared.value if carried is None else frozenset(carried[k].as_py() or ())
+                if t is None or h is None or not own:
                     texts.append(t)
                     removed.append(0)
+                    continue
+                lines = t.split("\n")
+                left = [x for x in lines if not ((y := normal_line(x)) and _hash(h, y) in own)]
+                texts.append("\n".join(left))
+                removed.append(len(lines) - len(left))
             cols = [b.column(c) for c in names]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int32())], names=[*names, "lines_removed"])
 
-    return joined.mapInArrow(clean, schema)
+    return rows.mapInArrow(clean, schema)
