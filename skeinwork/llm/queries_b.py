@@ -11,6 +11,7 @@ from skeinwork.llm.encode import encode_corpus, token_counts
 from skeinwork.llm.packing import pack_items
 from skeinwork.llm.site_lines import boilerplate_lines, remove_boilerplate
 from skeinwork.llm.split import split_texts
+from skeinwork.operators.dedup import drop_repeats
 from skeinwork.session import table
 
 
@@ -22,8 +23,7 @@ def _limit(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, field, text of every content and markdown, one delivery (all carry the same text) per document."""
     docs = table(spark, sf_dir, "crawl_documents").select("rec_id", "uid", "content", "markdown")
-    first = docs.groupBy("uid").agg(F.min("rec_id").alias("rec_id")).select("rec_id")
-    own = docs.join(first, "rec_id", "left_semi")
+    own = drop_repeats(docs, ["uid"], "rec_id")
     return own.select("uid", F.expr("stack(2, 'content', content, 'markdown', markdown) AS (field, text)"))
 
 
