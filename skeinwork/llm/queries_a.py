@@ -40,3 +40,12 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+SQL = {
+    "p1_found": r"""
+WITH d AS (SELECT uid, min(content) AS content FROM crawl_documents WHERE length(content) >= 500 GROUP BY uid),
+w AS (SELECT uid, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM d),
+s AS MATERIALIZED (SELECT DISTINCT uid, hash(unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS h FROM w),
+n AS (SELECT uid, count(*) AS n FROM s GROUP BY uid),
+p AS (SELECT a.uid AS uid_a, b.uid AS uid_b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.uid < b.uid GROUP BY 1, 2)
+SELECT uid_a, uid_b FROM p JOIN n a ON a.uid = uid_a JOIN n b ON b.uid = uid_b WHERE k >= 0.6 * (a.n + b.n - k)""",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions.hosts import host_of
-from skeinwork.llm.canonical import canonical_text, lookalike_pairs
+from skeinwork.llm.canonical import HYPHENS, INVISIBLE, LOOKALIKES, SPACES, canonical_text, lookalike_pairs
 from skeinwork.llm.encode import encode_corpus, token_counts
 from skeinwork.llm.packing import pack_items
 from skeinwork.llm.site_lines import boilerplate_lines, remove_boilerplate
@@ -80,8 +80,26 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def _form_sql() -> str:
+    """The canonical form in plain SQL, one string function after another (for the characters of one code point each)."""
+    gone = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in [*INVISIBLE, (0, 8), (11, 31), (0x7F, 0x9F)])
+    spaces = "".join(chr(c) for lo, hi in SPACES for c in range(lo, hi + 1))
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    source = wide + spaces + "".join(map(chr, HYPHENS)) + "".join(LOOKALIKES) + "\u212a\u212b"
+    target = "".join(chr(ord(c) - 0xFEE0) for c in wide) + " " * len(spaces) + "-" * len(HYPHENS) + "".join(LOOKALIKES.values()) + "K\u00c5"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    form = f"regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[{gone}]', '', 'g')"
+    form = f"translate({form}, {quoted(source)}, {quoted(target)})"
+    for a, b in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\u0451", "\u00eb"), ("\u0401", "\u00cb")):
+        form = f"replace({form}, '{a}', '{b}')"
+    return f"nfc_normalize({form})"
+
+
 QUERIES = {f.__name__: f for f in (p3_pieces, p3_found, p4_found, p4_blocks, p4_clean, p8_ids, p9_packed, p10_text, p10_found)}
 SQL = {
+    "p10_text": f"SELECT doc_id, {_form_sql()} AS canonical FROM documents",
+    "p10_found": f"""WITH c AS MATERIALIZED (SELECT doc_id, text, {_form_sql()} AS form FROM documents)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_matches(a.form, '[^\\s]')""",
     "p3_found": """
 SELECT DISTINCT uid, field FROM (
   SELECT uid, 'content' AS field, length(content) AS n FROM crawl_documents UNION ALL

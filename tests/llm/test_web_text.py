@@ -113,6 +113,12 @@ def test_removal(spark):
     assert rows[101].content == "Only b\nshared" and rows[200].content == "shared" and rows[201].content is None and rows[202].content == ""
 
 
+def test_many_lines_take_the_join(spark, monkeypatch):
+    monkeypatch.setattr(L, "BROADCAST_NODES", 0)
+    assert len(L.boilerplate_lines(site(spark), "host", "uid", "content", "rec_id").collect()) == 3
+    test_removal(spark)
+
+
 def test_thresholds_count_documents(spark):
     rows = [(i, f"d{i}", "h", "same\nsame" if i < 5 else f"other {chr(65 + i)}", 0) for i in range(50)]
     df = spark.createDataFrame(rows, DOCS)
