@@ -27,6 +27,8 @@ FILTERS, EMBEDDING = 32, 8
 #: Bound on the labelled rows used per language, and on the bytes used of each.
 TRAIN_ROWS, TRAIN_BYTES = 400, 1536
 SWITCH_COST = 6.0
+#: Windows per training step, and the least number of steps (small samples are gone through more often).
+BATCH, LEAST_STEPS = 128, 1000
 
 
 @dataclass
@@ -108,9 +110,9 @@ def _fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     )
     params = [m.embedding, *m.filters, *m.biases, m.out, m.out_bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step, batch = 0, 128
+    step, batch = 0, BATCH
     counts = np.bincount(labels, minlength=len(languages)).astype(np.float32)
-    weight = (counts.sum() / np.maximum(counts, 1) / len(languages))[labels].clip(0.2, 5)
+    weight = (counts.sum() / np.maximum(counts, 1) / len(languages))[labels].clip(0.2, 20)
     total = epochs * -(-len(windows) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(windows))
@@ -151,14 +153,14 @@ def train(texts: list[str], labels: list[str], languages: list[str], epochs: int
     windows, owner = windows_of([t[:TRAIN_BYTES] for t in texts])
     index = {c: k for k, c in enumerate(languages)}
     y = np.array([index[c] for c in labels], dtype=np.int64)[owner]
-    first = _fit(windows, y, languages, 2, seed)
+    first = _fit(windows, y, languages, max(2, -(-LEAST_STEPS * BATCH // 2 // max(1, len(windows)))), seed)
     lp = first.log_probabilities(windows)
     score = np.zeros((len(texts), len(languages)))
     np.add.at(score, owner, lp)
     agrees = score.argmax(axis=1) == np.array([index[c] for c in labels])
     own_window = lp.argmax(axis=1) == y  # windows in another language than the text's are left out as well
     kept = agrees[owner] & own_window
-    return _fit(windows[kept], y[kept], languages, epochs, seed + 1)
+    return _fit(windows[kept], y[kept], languages, max(epochs, -(-LEAST_STEPS * BATCH // max(1, int(kept.sum())))), seed + 1)
 
 
 def clean_label(label: str | None, known: set[str]) -> str | None:

@@ -14,7 +14,8 @@ def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment of every document, with its confidence and the label the document came with."""
     known = [r.code for r in table(spark, sf_dir, "lang_codes").limit(1000).collect()]
     docs = table(spark, sf_dir, "crawl_documents").select("rec_id", "uid", "content", "language")
-    model = train_on(docs, "content", "language", known)
+    texts = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.col("lang").alias("language"))
+    model = train_on(docs.select("content", "language").union(texts), "content", "language", known)
     # all deliveries are read, and of the small results those of each document's first delivery are kept: no text is shuffled
     found = identify(docs.filter(F.length("content") > 0), ["rec_id", "uid", "language"], "content", model)
     parts = F.collect_list(F.struct("seg_no", "lang", "confidence", "first_line", "last_line"))
