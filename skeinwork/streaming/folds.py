@@ -125,3 +125,33 @@ def edges_of(messages: DataFrame) -> DataFrame:
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
     """Start a stream that hands every micro-batch to a function; available_now by default, so it ends when the input is read."""
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+_DELAY = "domain string, timestamp long, delay_ms long, paused boolean"
+DELAY_DEFAULT, DELAY_MOST, PAUSE_AFTER = 1000, 30_000, 10
+
+
+def delay_step(state: tuple[int, int, bool], status: int) -> tuple[int, int, bool]:
+    """(delay, errors in a row, paused) of a domain after a request: success brings the delay a tenth nearer to the default;
+    a refusal for rate (429), and any failure from the third in a row on, makes it half as long again; ten in a row pause."""
+    delay, errors, paused = state
+    if 200 <= status < 400:
+        return (max(DELAY_DEFAULT, int(delay * 0.9)) if delay > DELAY_DEFAULT else delay), 0, paused
+    errors += 1
+    if status == 429 or errors >= 3:
+        delay = min(DELAY_MOST, int(delay * 1.5))
+    return delay, errors, paused or errors >= PAUSE_AFTER
+
+
+def delay_stream(requests: DataFrame) -> DataFrame:
+    """The delay of each domain after every micro-batch of its requests (domain, status_code, timestamp in ms)."""
+
+    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own = tuple(state.get) if state.exists else (DELAY_DEFAULT, 0, False)
+        rows = pd.concat(list(pdfs)).sort_values("timestamp", kind="stable")
+        for status in rows["status_code"]:
+            own = delay_step(own, int(status))
+        state.update(own)
+        yield pd.DataFrame([(key[0], int(rows["timestamp"].iloc[-1]), own[0], own[2])], columns=["domain", "timestamp", "delay_ms", "paused"])
+
+    return requests.select("domain", "status_code", "timestamp").groupBy("domain").applyInPandasWithState(fold, _DELAY, "delay long, errors long, paused boolean", "update", "NoTimeout")

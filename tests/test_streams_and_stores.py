@@ -137,3 +137,15 @@ def test_sitemaps(spark):
     assert [(r.loc, r.priority) for r in S.by_priority(pages).collect()] == [("p2", 0.5), ("p1", 0.2)]
     d = spark.range(1).select(*[S.parse_date(F.lit(x)).cast("string").alias(f"c{k}") for k, x in enumerate(["2024-01-02", "2024-01-02T03:04:05", "2024-01-02T03:04:05+01:00", "x"])]).first()
     assert list(d) == ["2024-01-02 00:00:00", "2024-01-02 03:04:05", "2024-01-02 02:04:05", None]
+
+
+def test_delays(spark, tmp_path):
+    codes = [200, 500, 500, 500, 429, 200, 200] + [0] * 12
+    own = (1000, 0, False)
+    for c in codes:
+        own = folds.delay_step(own, c)
+    assert folds.delay_step((2250, 4, False), 200) == (2025, 0, False) and own[2] and own[0] > 20_000
+    rows = [("d", c, k) for k, c in enumerate(codes)] + [("e", 200, 1)]
+    out = drain(folds.delay_stream(stream_of(spark, tmp_path, rows, "domain string, status_code int, timestamp bigint")), "delays", "update")
+    last = {r.domain: (r.delay_ms, r.paused) for r in out.orderBy("timestamp").collect()}
+    assert last == {"d": (own[0], True), "e": (1000, False)}
