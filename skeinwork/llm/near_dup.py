@@ -60,6 +60,7 @@ def _seeds(n: int) -> np.ndarray:
 
 
 _SYMBOL_SEEDS = _seeds(LENGTH)
+_PLACES = _seeds(64)
 _RANGES = np.arange(SKETCH_RANGES, dtype=np.uint64)
 
 
@@ -73,15 +74,19 @@ def shingle_hashes(words: list[str], width: int) -> np.ndarray:
     if len(words) < width:
         return np.empty(0, dtype=np.uint64)
     w = np.array([_word_hash(x) for x in words], dtype=np.uint64)
-    h = np.zeros(len(w) - width + 1, dtype=np.uint64)
-    for k in range(width):
-        h = _mix(h ^ w[k : len(w) - width + 1 + k]) + np.uint64(k + 1)
+    n = len(w) - width + 1
+    h = w[:n] * _PLACES[0]
+    for k in range(1, width):
+        h ^= _mix(w[k : n + k] * _PLACES[k % len(_PLACES)] + h)
     return np.unique(_mix(h))
 
 
 def anchors(shingles: np.ndarray) -> np.ndarray:
     """The anchors (as bigint keys) of the fingerprint of a non-empty shingle set."""
-    x = np.array([int((_mix(shingles ^ s) >> np.uint64(33)).min()) for s in _SYMBOL_SEEDS], dtype=np.int64) % PRIME
+    least = np.full(LENGTH, 1 << 31, dtype=np.uint64)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, (_mix(shingles[at : at + 4096] ^ _SYMBOL_SEEDS[:, None]) >> np.uint64(33)).min(axis=1))
+    x = least.astype(np.int64) % PRIME
     slope = (x[_J] - x[_I]) % PRIME * _INVERSE[_J - _I] % PRIME
     start = (x[_I] - slope * _I) % PRIME
     return np.unique((slope << 31) | start)
@@ -93,8 +98,8 @@ def sketch(shingles: np.ndarray) -> tuple[int, int]:
     own = shingles[at]
     held = (own >> np.uint64(58)) == _RANGES
     mixed = np.where(held, _mix(own), np.uint64(0))
-    high, low = ((np.packbits((mixed >> np.uint64(b)) & np.uint64(1) == 1).view(">i8"))[0] for b in (0, 1))
-    return int(high), int(low)
+    bits = np.packbits(np.stack((mixed & np.uint64(1), (mixed >> np.uint64(1)) & np.uint64(1))).astype(bool)).view(">i8")
+    return int(bits[0]), int(bits[1])
 
 
 def line_hash(text: str) -> int:
