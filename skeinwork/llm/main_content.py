@@ -54,11 +54,11 @@ def blocks_of(root: Node) -> list[Block]:
     def flush(node: Node) -> None:
         text = "".join(parts)
         parts.clear()
-        if not (node.tag == "pre" or any(n.tag == "pre" for n in _up(node))):
-            text = _SPACE.sub(" ", text).strip()
-        else:
-            text = text.strip("\r\n")
-        if text.strip():
+        if text and not text.isspace():
+            if any(n.tag == "pre" for n in _up(node)):
+                text = text.strip("\r\n")
+            else:
+                text = _SPACE.sub(" ", text).strip()
             out.append(Block(text, node, state["linked"], state["mark"]))
             state["mark"] = ""
         state["linked"] = 0
