@@ -48,6 +48,40 @@ def minhash_pairs(signatures: DataFrame, id_col: str, sig_col: str, threshold: f
     return scored.filter(F.col("similarity") >= threshold)
 
 
+def minhash_classes(signatures: DataFrame, id_col: str, sig_col: str, threshold: float = 0.85, bands: int = 16, n: int = 128) -> DataFrame:
+    """``id, class, links`` of every row: the least id of its signature, and how many other rows it is linked to.
+
+    Linked are the rows of its own class and those of the classes paired with it by minhash_pairs. Null signatures have no class
+    and no links.
+    """
+    own = signatures.select(F.col(id_col).alias("id"), F.col(sig_col).alias("sig"))
+    members, firsts = _members(own)
+    pairs = minhash_pairs(own, "id", "sig", threshold, bands, n).select("a", "b")
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(firsts.select(F.col("rep").alias("b"), "size"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("near"))
+    counted = firsts.join(near, "rep", "left").select("key", "rep", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    judged = members.join(counted, "key").select("id", F.col("rep").alias("class"), "links")
+    return judged.unionByName(own.filter("sig IS NULL").select("id", F.lit(None).cast(own.schema["id"].dataType).alias("class"), F.lit(0).cast("long").alias("links")))
+
+
+def minhash_links(signatures: DataFrame, id_col: str, sig_col: str, threshold: float = 0.85, bands: int = 16, n: int = 128) -> DataFrame:
+    """``a, b, similarity``: minhash_pairs of the classes' least ids, and each other row of a class linked to its least id (1.0).
+
+    So every row that has a partner stands in a link, in as many rows as there are copies; ids of one class, and of two paired
+    classes, are all partners of each other.
+    """
+    own = signatures.select(F.col(id_col).alias("id"), F.col(sig_col).alias("sig"))
+    members, firsts = _members(own)
+    same = members.join(firsts, "key").filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return minhash_pairs(own, "id", "sig", threshold, bands, n).unionByName(same)
+
+
+def _members(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, key`` of the rows of ``id, sig`` with a signature, and ``key, rep, size`` of their classes."""
+    members = own.filter("sig IS NOT NULL").select("id", F.xxhash64("sig").alias("key"))
+    return members, members.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
+
+
 def first_kept(pairs: DataFrame, items: DataFrame, max_rounds: int = 200) -> DataFrame:
     """The sequential filter over items in ascending order of their id: an item is dropped if an earlier kept item is its partner.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.sketches import minhash, simhash
 from skeinwork.operators import similarity as S
-from skeinwork.session import table
+from skeinwork.session import cut_lineage, table
 
 
 def _hashed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -26,12 +26,20 @@ def simhash_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.simhash_clusters(_hashed(spark, sf_dir, "xxhash64"), "doc_id", "h", 3)
 
 
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and signature, written once: signatures cost more than all that is done with them."""
+    return cut_lineage(table(spark, sf_dir, "documents").select("doc_id", minhash("text").alias("sig")))
+
+
 def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sigs = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", minhash("text").alias("sig"))
-    return S.minhash_pairs(sigs, "doc_id", "sig")
+    return S.minhash_links(_signed(spark, sf_dir), "doc_id", "sig")
+
+
+def minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.minhash_classes(_signed(spark, sf_dir), "doc_id", "sig")
 
 
-QUERIES = {f.__name__: f for f in (simhash_md5, simhash_near_duplicates, simhash_clusters, minhash_near_duplicates)}
+QUERIES = {f.__name__: f for f in (simhash_md5, simhash_near_duplicates, simhash_clusters, minhash_near_duplicates, minhash_classes)}
 SQL = {
     "simhash_md5": r"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{00A0}\x{0085}\x1C-\x1F]', '', 'g'), '[\s\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{00A0}\x{0085}\x1C-\x1F]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE w END) AS t FROM w),

@@ -98,3 +98,28 @@ def test_minhash_pairs(spark):
     assert S.minhash_pairs(df, "id", "m", 0.8, 8, 32).collect() == []  # equal signatures are one class
     j = df.alias("a").join(df.alias("b"), F.expr("a.id < b.id")).select(K.estimated_jaccard("a.m", "b.m").alias("j")).collect()
     assert sorted(r.j for r in j)[-1] == 1.0
+
+
+def test_minhash_links_and_classes(spark):
+    near = "the quick brown fox jumps over the lazy dog again and again until the end of the day comes and it sleeps"
+    texts = [(1, near), (2, near.upper() + "!"), (3, "nothing in common with the others at all here"), (4, near), (5, None), (6, f"{near} well"), (7, f"{near} well"), (8, ""), (9, "")]
+    df = spark.createDataFrame(texts, "id long, t string").select("id", K.minhash("t", 32).alias("m"))
+    sig = {r.id: r.m for r in df.collect()}
+    like = lambda a, b: sum(x == y for x, y in zip(sig[a], sig[b])) / 32
+    assert 0.6 <= like(1, 6) < 1
+    got = {(r.a, r.b): r.similarity for r in S.minhash_links(df, "id", "m", 0.6, 16, 32).collect()}
+    assert got == {(1, 2): 1.0, (1, 4): 1.0, (1, 6): like(1, 6), (6, 7): 1.0, (8, 9): 1.0}
+    rows = {r.id: (r["class"], r.links) for r in S.minhash_classes(df, "id", "m", 0.6, 16, 32).collect()}
+    assert rows == {1: (1, 4), 2: (1, 4), 4: (1, 4), 6: (6, 4), 7: (6, 4), 3: (3, 0), 5: (None, 0), 8: (8, 1), 9: (8, 1)}
+    assert S.minhash_links(df.limit(0), "id", "m").collect() == [] and S.minhash_classes(df.limit(0), "id", "m").collect() == []
+
+
+def test_minhash_queries_cover_every_document(spark):
+    from skeinwork.plans.similarity_queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = QUERIES["minhash_classes"](spark, sf).collect()
+    assert sorted(r.id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    linked = {r.id for r in rows if r.links}
+    assert linked == {x for r in QUERIES["minhash_near_duplicates"](spark, sf).collect() for x in (r.a, r.b)}
