@@ -31,7 +31,7 @@ RESIDUE_SHARE = 0.5
 # fixed values: phrases of messages and notices (English, German, French, Spanish, Italian, Portuguese, Dutch, Russian), lower case
 PHRASES = """
 not found|could not be found|no longer available|no longer exists|access denied|forbidden|permission to view|not authorized|not authorised|javascript|script|temporarily unavailable|service unavailable
-server error|too many requests|went wrong|coming soon|under construction|still building|checking your browser|loading|active content|content goes here|your text|replace this text|placeholder|sample heading|sample paragraph|sample text|sample caption
+server error|too many requests|went wrong|coming soon|subscribe to read|under construction|still building|checking your browser|loading|active content|content goes here|your text|replace this text|placeholder|sample heading|sample paragraph|sample text|sample caption
 traceback|fatal error|exception|error|upstream|unusual traffic|you are human|captcha|has expired|sign in to|log in to|no route|database|ray id|http status|maintenance|try again|please wait
 introuvable|n'existe pas|n’existe pas|n'existe plus|n’existe plus|accès refusé|accès interdit|indisponible|erreur|bientôt disponible|en construction|activer|activez|votre texte|réessayer|veuillez
 nicht gefunden|gibt es nicht|nicht verfügbar|schiefgelaufen|zugriff|verweigert|skripte|demnächst|im aufbau|ihr text|fehler|wartung|einschalten|aktivieren|bitte warten
@@ -50,6 +50,9 @@ SLOTS = re.compile(_SLOTS)
 _SLOT_SIGNS = ("{", "%", "<", "$", "[", "@", "__", "NaN", "undefined", "TODO", "TBD")
 _WORD = re.compile(r"[^\W_]+")
 _STATUS = re.compile(r"^[45]\d\d\b")
+# fixed values: forms of messages that are no fixed phrases, and a sign that a line may have one
+_FORMS = re.compile(r"\b(?:status|code)\s+[45]\d\d\b|\bsession\b.*\bexpired|\berro\b|\bfout\b")
+_FORM_SIGNS = ("status", "code", "session", "erro", "fout")
 
 
 def _searcher():
@@ -104,7 +107,7 @@ def kind_of(line: str) -> int:
     if len(parts) > 2 * MESSAGE_WORDS:
         return TEXT
     words = _WORD.findall(low)
-    if len(words) <= MESSAGE_WORDS and (_STATUS.match(low) or _says(f" {low} ")):
+    if len(words) <= MESSAGE_WORDS and (_STATUS.match(low) or _says(f" {low} ") or any(x in low for x in _FORM_SIGNS) and _FORMS.search(low)):
         return MESSAGE
     if _REF.search(line) or (len(words) <= 3 and not line.rstrip().endswith((".", "!", "?", "…"))):
         return LABEL

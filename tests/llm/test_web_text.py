@@ -59,6 +59,13 @@ def test_kinds():
     assert {k: R.kind_of(k) for k in kinds} == kinds
 
 
+def test_forms_of_messages():
+    for line in ("Subscribe to read the whole story.", "Your session on this site expired an hour ago.", "The server answered with status 503 again.", "Exit with code 404 after the call.", "Ocorreu um erro.", "Er ging iets mis (fout)."):
+        assert R.kind_of(line) == R.MESSAGE, line
+    for line in ("Every status 99 counts as one here.", "The encoder of the ferrous wheel is here now.", "Sessions are over and nothing else remains."):
+        assert R.kind_of(line) == R.TEXT, line
+
+
 def test_prefix_tree():
     tree = R.PrefixTree()
     a = tree.add(R.mask("Gone: upstream timed out (120 ms) while reading, request ab12"))
