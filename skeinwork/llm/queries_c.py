@@ -14,9 +14,8 @@ from skeinwork.session import table
 
 
 def record_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id of the records that are cases of problem 5."""
-    docs = table(spark, sf_dir, "crawl_documents").select("rec_id", "content", "title")
-    return residue_rows(content_lines(docs, "rec_id", "content", "title", "crawl_documents")).select(F.col("id").alias("rec_id"))
+    """rec_id of the records that are cases of problem 5, by the same verdicts as in p5_found."""
+    return p5_found(spark, sf_dir).filter(F.col("tbl") == "crawl_documents").select(F.col("id").alias("rec_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from skeinwork.functions.dom import parse
 from skeinwork.llm import main_content as M
+from skeinwork.llm import queries_c as C
 from skeinwork.llm import residue as R
 from skeinwork.llm import site_lines as L
 
@@ -94,6 +95,18 @@ def test_residue_pages(spark):
     assert {r.id for r in R.residue_rows(R.page_residue_lines(df, "page", "html", "kind", "p")).collect()} == {1, 6}
 
 
+def test_records_are_judged_as_in_p5_found(spark, tmp_path):
+    message = "Access denied. You do not have permission to view this resource."
+    docs = [(1, "a", "u1", message, None), (2, "b", "u2", PROSE, None), (3, "c", "u3", "{{body}}", None)]
+    pages = [(k, f"<html><body><main><p>{PROSE}</p><p>{message}</p></main></body></html>", "text/html") for k in range(3)]
+    spark.createDataFrame(docs, "rec_id long, uid string, url string, content string, title string").write.parquet(f"{tmp_path}/crawl_documents.parquet")
+    spark.createDataFrame(pages, "page_id long, html string, content_type string").write.parquet(f"{tmp_path}/raw_pages.parquet")
+    found = {(r.tbl, r.id) for r in C.p5_found(spark, str(tmp_path)).collect()}
+    assert found == {("crawl_documents", 3)}  # one of the message's four occurrences stands alone
+    assert {r.rec_id for r in C.record_residue(spark, str(tmp_path)).collect()} == {3}
+    assert {r.rec_id for r in C.p5_kept(spark, str(tmp_path)).collect()} == {1, 2}
+
+
 # --- site lines -----------------------------------------------------------------------------------------------------
 
 DOCS = "rec_id long, uid string, host string, content string, lines_removed int"
