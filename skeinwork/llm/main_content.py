@@ -23,7 +23,7 @@ from skeinwork.functions.dom import BLOCK, Node, parse
 UNSEEN = frozenset("script style noscript template head title meta link base svg iframe object datalist select textarea".split())
 SIDE_TAGS = frozenset("nav header footer aside dialog".split())
 SIDE_ROLES = frozenset("navigation banner complementary contentinfo dialog alertdialog search menu menubar".split())
-_INNER = frozenset("p ul ol li dl dt dd blockquote pre h1 h2 h3 h4 h5 h6 figure figcaption address center details summary table thead tbody tfoot tr hr small form fieldset menu dir".split())
+_INNER = frozenset("p ul ol li dl dt dd blockquote pre h1 h2 h3 h4 h5 h6 figure figcaption address center details summary table caption thead tbody tfoot tr hr small form fieldset menu dir".split())
 
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
@@ -63,7 +63,7 @@ def blocks_of(root: Node) -> list[Block]:
             state["mark"] = ""
         state["linked"] = 0
 
-    # an explicit stack: (node, None) enters, (node, "end") leaves
+    # an explicit stack: (node, None) enters, (node, "end") leaves; (rows, "rows") are those of a data table
     stack: list[tuple] = [(root, None, False, root)]
     while stack:
         node, phase, in_link, block = stack.pop()
@@ -75,6 +75,13 @@ def blocks_of(root: Node) -> list[Block]:
         if phase == "end":
             flush(node)
             continue
+        if phase == "rows":
+            flush(block)
+            for cells in node:
+                text = " ".join(c for c in cells if c)
+                if text:
+                    out.append(Block(text, block, 0, "", cells))
+            continue
         if not shown(node):
             continue
         if node.tag == "br":
@@ -85,12 +92,11 @@ def blocks_of(root: Node) -> list[Block]:
             flush(block)
             if node.tag == "li":
                 state["mark"] = "- "
-            if node.tag == "table" and (rows := _data_table(node)) is not None:
-                flush(block)
-                for cells in rows:
-                    text = " ".join(c for c in cells if c)
-                    if text:
-                        out.append(Block(text, node, 0, "", cells))
+            if node.tag == "table" and (parted := _data_table(node)) is not None:
+                rows, rest = parted
+                stack.append((rows, "rows", in_link, node))
+                for child in reversed(rest):
+                    stack.append((child, None, in_link, node))
                 continue
             stack.append((node, "end", in_link, node))
         inner = node if is_block else block
@@ -107,19 +113,46 @@ def _up(node: Node) -> Iterator[Node]:
         node = node.parent
 
 
-def _data_table(table: Node) -> list[list[str]] | None:
-    """The cells of a table that holds data; None for one that lays out the page (blocks or spans in its cells)."""
+def _shown_text(node: Node) -> str:
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif shown(n):
+            stack.extend(reversed(n.children))
+    return "".join(out)
+
+
+def _data_table(table: Node) -> tuple[list[list[str]], list] | None:
+    """The shown cells of a table that holds data, and what stands in it outside its cells (caption, stray text).
+
+    None for a table that lays out the page (blocks or spans in its cells).
+    """
     rows: list[list[str]] = []
-    for tr in table.find_all("tr"):
-        cells = []
-        for cell in tr.children:
-            if isinstance(cell, str) or cell.tag not in ("td", "th"):
-                continue
-            if any(n.tag in BLOCK for n in cell.walk() if n is not cell):
-                return None
-            cells.append(_SPACE.sub(" ", cell.text(UNSEEN)).strip())
-        rows.append(cells)
-    return rows
+    rest: list = []
+    stack = list(reversed(table.children))
+    while stack:
+        part = stack.pop()
+        if isinstance(part, str):
+            rest.append(part)
+        elif not shown(part):
+            continue
+        elif part.tag == "tr":
+            cells = []
+            for cell in part.children:
+                if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                    rest.append(cell)
+                elif shown(cell):
+                    if any(n.tag in BLOCK for n in cell.walk() if n is not cell):
+                        return None
+                    cells.append(_SPACE.sub(" ", _shown_text(cell)).strip())
+            rows.append(cells)
+        elif part.tag != "caption" and part.first("tr") is not None:
+            stack.extend(reversed(part.children))
+        else:
+            rest.append(part)
+    return rows, rest
 
 
 def _container(node: Node) -> Node:

@@ -18,6 +18,16 @@ def test_main_text():
     assert M.main_text(None) is None and M.main_text("") is None and M.main_text("<script>x</script>") is None
 
 
+def test_captions_and_hidden_cells():
+    table = "<table><caption>Catch of <b>May</b></caption><thead><tr hidden><th>no<th>no</tr><tr><th>Fish<th style='display:none'>secret<th>Tons</tr></thead>stray<tbody><tr><td>Cod<td hidden>x<td>12<span hidden>!</span></tr><tr style='visibility: hidden'><td>gone</tr></tbody></table>"
+    page = f"<body><article><h1>T</h1><p>{PROSE}</p>{table}<p>After</p></article></body>"
+    text = M.main_text(page)
+    head, rows = text.split("Fish")
+    assert "Catch of May\n\n" in head and "stray" in head and rows == "  Tons\nCod   12\n\nAfter"
+    assert not any(x in text.replace(PROSE, "") for x in ("no", "secret", "x", "gone", "!"))
+    assert M.main_text(f"<article><p>{PROSE}</p><table><caption>Only a caption</caption></table></article>") == f"{PROSE}\n\nOnly a caption"
+
+
 def test_layouts():
     wraps = ["<main><article>{}</article></main>", "<table><tr><td>nav</td></tr><tr><td width=180>side text</td><td>{}</td></tr></table>", "<div id=app><div role=main>{}</div></div>", "<DIV CLASS=body>{}</DIV><HR>"]
     for w in wraps:
