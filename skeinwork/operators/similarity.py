@@ -108,7 +108,7 @@ def first_kept(pairs: DataFrame, items: DataFrame, max_rounds: int = 200) -> Dat
 
 
 def simhash_filter(rows: DataFrame, id_col: str, hash_col: str, t: int = 3) -> DataFrame:
-    """``id, duplicate_of`` of the sequential SimHash filter in order of id: the earliest kept row at most t bits away.
+    """``id, duplicate_of, similarity`` of the sequential SimHash filter in order of id: the earliest kept row at most t bits away.
 
     The hash 0 (no words) and null hashes never match. Rows of equal hashes are one item, that of their least id; the others
     are its duplicates if it is kept, else of the row it duplicates.
@@ -118,22 +118,56 @@ def simhash_filter(rows: DataFrame, id_col: str, hash_col: str, t: int = 3) -> D
     firsts = real.groupBy("h").agg(F.min("id").alias("rep"))
     pairs = hamming_pairs(firsts, "h", t)
     ids = pairs.join(firsts.select(F.col("h").alias("a"), F.col("rep").alias("ra")), "a").join(firsts.select(F.col("h").alias("b"), F.col("rep").alias("rb")), "b")
-    verdict = first_kept(ids.select(F.col("ra").alias("a"), F.col("rb").alias("b")), firsts.select(F.col("rep").alias("id")))
-    out = real.join(firsts, "h").join(verdict.select(F.col("id").alias("rep"), "duplicate_of"), "rep")
-    judged = out.select("id", F.coalesce("duplicate_of", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("duplicate_of"))
-    empty = own.filter(F.coalesce(F.col("h"), F.lit(0)) == 0).select("id", F.lit(None).cast(judged.schema["id"].dataType).alias("duplicate_of"))
-    return judged.unionByName(empty)
+    near = cut_lineage(ids.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), (1 - F.col("distance") / 64).alias("similarity")))
+    judged = _judged(real.select("id", F.col("h").alias("key")), firsts.select(F.col("h").alias("key"), "rep"), near)
+    return judged.unionByName(_unmatched(own.filter(F.coalesce(F.col("h"), F.lit(0)) == 0), judged))
+
+
+def minhash_filter(signatures: DataFrame, id_col: str, sig_col: str, threshold: float = 0.85, bands: int = 16, n: int = 128) -> DataFrame:
+    """``id, duplicate_of, similarity`` of the sequential MinHash filter in order of id.
+
+    duplicate_of is the earliest kept row that shares a band and agrees in at least ``threshold`` of the positions. Signatures of texts
+    without words match each other; null signatures never match.
+    """
+    own = signatures.select(F.col(id_col).alias("id"), F.col(sig_col).alias("sig"))
+    members, firsts = _members(own)
+    judged = _judged(members, firsts.select("key", "rep"), cut_lineage(minhash_pairs(own, "id", "sig", threshold, bands, n)))
+    return judged.unionByName(_unmatched(own.filter("sig IS NULL"), judged))
+
+
+def _judged(members: DataFrame, firsts: DataFrame, near: DataFrame) -> DataFrame:
+    """Verdicts of ``id, key`` by those of the first of their class (``key, rep``); near: ``a, b, similarity`` of firsts, a before b."""
+    verdict = first_kept(near.select("a", "b"), firsts.select(F.col("rep").alias("id")))
+    scored = verdict.join(near.select(F.col("a").alias("duplicate_of"), F.col("b").alias("id"), "similarity"), ["duplicate_of", "id"], "left").select(F.col("id").alias("rep"), "duplicate_of", "similarity")
+    copy = F.col("id") != F.col("rep")
+    of, like = F.coalesce("duplicate_of", F.when(copy, F.col("rep"))), F.when(F.col("duplicate_of").isNull() & copy, F.lit(1.0)).otherwise(F.col("similarity"))
+    return members.join(firsts, "key").join(scored, "rep").select("id", of.alias("duplicate_of"), like.alias("similarity"))
+
+
+def _unmatched(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    return rows.select("id", *[F.lit(None).cast(judged.schema[c].dataType).alias(c) for c in ("duplicate_of", "similarity")])
 
 
 def simhash_clusters(rows: DataFrame, id_col: str, hash_col: str, t: int = 3) -> DataFrame:
-    """``id, cluster`` (the least id): transitive closure of distances up to t; the hash 0 clusters like any other."""
+    """``id, cluster`` (the least id) and ``avg_similarity``: transitive closure of distances up to t; the hash 0 clusters like any other.
+
+    avg_similarity is the mean of 1 - distance / 64 over all pairs of the cluster's rows, 1.0 for a single row; the distances
+    are summed bit by bit from the rows that have it set, so no pair is made.
+    """
     own = rows.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("h IS NOT NULL")
-    firsts = own.groupBy("h").agg(F.min("id").alias("rep"))
+    firsts = own.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     pairs = hamming_pairs(firsts, "h", t)
     ids = pairs.join(firsts.select(F.col("h").alias("a"), F.col("rep").alias("ra")), "a").join(firsts.select(F.col("h").alias("b"), F.col("rep").alias("rb")), "b")
     parts = connected_components(ids, "ra", "rb").select(F.col("node").alias("rep"), "component")
-    return own.join(firsts, "h").join(parts, "rep", "left").select("id", F.coalesce("component", "rep").alias("cluster"))
+    named = cut_lineage(firsts.join(parts, "rep", "left").select("h", "size", F.coalesce("component", "rep").alias("cluster")))
+    ones = [F.sum(F.col("size") * F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1))).cast("double").alias(f"b{k}") for k in range(64)]
+    sums = named.groupBy("cluster").agg(F.sum("size").cast("double").alias("n"), F.array(*ones).alias("ones"))
+    apart = F.aggregate("ones", F.lit(0.0), lambda s, x: s + x * (F.col("n") - x))
+    means = sums.select("cluster", F.when(F.col("n") > 1, 1 - apart / (32 * F.col("n") * (F.col("n") - 1))).otherwise(F.lit(1.0)).alias("avg_similarity"))
+    return own.join(named.join(means, "cluster"), "h").select("id", "cluster", "avg_similarity")
 
 
 def filter_stats(verdicts: DataFrame) -> DataFrame:
-    return verdicts.agg(F.count("*").alias("checked"), F.count("duplicate_of").alias("duplicates"), F.count_if(F.col("duplicate_of").isNull()).alias("unique_rows"))
+    """Rows checked, duplicates, unique rows, and the mean similarity of the duplicates to the row they repeat (0.0 without any)."""
+    mean = F.coalesce(F.avg(F.when(F.col("duplicate_of").isNotNull(), F.col("similarity"))), F.lit(0.0))
+    return verdicts.agg(F.count("*").alias("checked"), F.count("duplicate_of").alias("duplicates"), F.count_if(F.col("duplicate_of").isNull()).alias("unique_rows"), mean.alias("mean_similarity"))

@@ -85,7 +85,7 @@ def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.simhash_clusters(table(spark, sf_dir, "documents").select("doc_id", simhash("text", "md5hex").alias("h")), "doc_id", "h", 3)
+    return S.simhash_clusters(table(spark, sf_dir, "documents").select("doc_id", simhash("text", "md5hex").alias("h")), "doc_id", "h", 3).select("id", "cluster")
 
 
 QUERIES = {f.__name__: f for f in (job_counters, job_pauses, account_sessions, admitted_urls, conditional_headers, upserted_records, inserted_urls, registered_domains, search_index, simhash_pairs, simhash_groups)}

@@ -39,7 +39,11 @@ def minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.minhash_classes(_signed(spark, sf_dir), "doc_id", "sig")
 
 
-QUERIES = {f.__name__: f for f in (simhash_md5, simhash_near_duplicates, simhash_clusters, minhash_near_duplicates, minhash_classes)}
+def minhash_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.minhash_filter(_signed(spark, sf_dir), "doc_id", "sig")
+
+
+QUERIES = {f.__name__: f for f in (simhash_md5, simhash_near_duplicates, simhash_clusters, minhash_near_duplicates, minhash_classes, minhash_kept)}
 SQL = {
     "simhash_md5": r"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{00A0}\x{0085}\x1C-\x1F]', '', 'g'), '[\s\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{00A0}\x{0085}\x1C-\x1F]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE w END) AS t FROM w),

@@ -123,3 +123,37 @@ def test_minhash_queries_cover_every_document(spark):
     assert sorted(r.id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     linked = {r.id for r in rows if r.links}
     assert linked == {x for r in QUERIES["minhash_near_duplicates"](spark, sf).collect() for x in (r.a, r.b)}
+
+
+def test_minhash_filter_and_stats(spark):
+    rng, rows, sig = random.Random(7), [], [0] * 32
+    for i in range(80):  # a walk, so that duplicates of duplicates occur
+        sig = [rng.randrange(1 << 40) for _ in sig] if i % 8 == 0 else [rng.randrange(1 << 40) if rng.random() < 0.06 else x for x in sig]
+        rows.append((i, sig))
+    rows += [(100, rows[0][1]), (101, rows[3][1]), (102, [-1] * 32), (103, [-1] * 32), (104, None)]
+    like = lambda a, b: sum(x == y for x, y in zip(a, b)) / 32
+    met = lambda a, b: any(a[k : k + 4] == b[k : k + 4] for k in range(0, 32, 4))
+    kept, want = [], {}
+    for i, s in rows:
+        hit = next(((j, like(s, g)) for j, g in kept if met(s, g) and like(s, g) >= 0.85), None) if s else None
+        want[i] = hit or (None, None)
+        if s and not hit:
+            kept.append((i, s))
+    verdicts = S.minhash_filter(spark.createDataFrame(rows, "id long, m array<long>"), "id", "m", 0.85, 8, 32)
+    assert {r.id: (r.duplicate_of, r.similarity) for r in verdicts.collect()} == want
+    found = [x for _, x in want.values() if x]
+    (stats,) = S.filter_stats(verdicts).collect()
+    assert (stats.checked, stats.duplicates, stats.unique_rows) == (85, len(found), 85 - len(found)) and abs(stats.mean_similarity - sum(found) / len(found)) < 1e-9
+
+
+def test_similarities_of_simhash(spark):
+    rows = [(1, 0b1), (2, 0b11), (3, 0b111), (4, 0b1), (9, 1 << 60), (10, -1), (11, -2), (12, -1)]
+    df = spark.createDataFrame(rows, "id long, h long")
+    dist = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    got = S.simhash_clusters(df, "id", "h", 1).collect()
+    for cluster, ids in ((1, (1, 2, 3, 4)), (9, (9,)), (10, (10, 11, 12))):
+        hs = [h for i, h in rows if i in ids]
+        each = [1 - dist(a, b) / 64 for k, a in enumerate(hs) for b in hs[k + 1 :]] or [1.0]
+        assert all(abs(r.avg_similarity - sum(each) / len(each)) < 1e-12 for r in got if r.cluster == cluster) and {r.id for r in got if r.cluster == cluster} == set(ids)
+    filtered = {r.id: (r.duplicate_of, r.similarity) for r in S.simhash_filter(df, "id", "h", 1).collect()}
+    assert filtered == {1: (None, None), 2: (1, 63 / 64), 3: (None, None), 4: (1, 1.0), 9: (None, None), 10: (None, None), 11: (10, 63 / 64), 12: (10, 1.0)}
