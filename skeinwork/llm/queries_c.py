@@ -19,10 +19,10 @@ def record_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "crawl_documents").select("rec_id", "content", "title")
-    pages = table(spark, sf_dir, "raw_pages").select("page_id", "html", "content_type")
-    a = content_lines(docs, "rec_id", "content", "title", "crawl_documents")
-    b = page_residue_lines(pages, "page_id", "html", "content_type", "raw_pages")
+    docs = table(spark, sf_dir, "crawl_documents").select("rec_id", "url", "content", "title")
+    pages = table(spark, sf_dir, "raw_pages").select("page_id", "url", "status", "html", "content_type")
+    a = content_lines(docs, "rec_id", "url", "content", "title", "crawl_documents")
+    b = page_residue_lines(pages, "page_id", "url", "status", "html", "content_type", "raw_pages")
     return residue_rows(a.unionByName(b))
 
 

@@ -1,34 +1,50 @@
 """Records that hold an error message, an unfilled template, filler or a notice instead of content.
 
-The lines of a record's main text are sorted into headings, unresolved slots, filler, labels (a site's name, a
-reference number), possible messages (short lines with a word of the vocabulary of such notices) and running text. A record with
-running text is content, whatever else it quotes. Possible messages are mined: masked lines are counted over the
-whole corpus with the company they keep (how often the record around them has running text), put through a prefix tree of
-fixed depth (number of tokens, first tokens, then likeness within the leaf), and each template gets one verdict:
-residue, if at least half of its occurrences stand without running text. Verdicts go back to the lines by join; a record
-is residue if it has no running text and all its messages are residue, at least one message, slot or filler line among them.
+Every line of a record's main text is masked (numbers, ids, paths, quoted words, runs of filler) and counted over the whole corpus.
+A line is known if at least LEAST addresses carry it or if it names itself (PHRASES); only records all of whose lines may be
+known stay open, the others have running text. The known lines of open records are mined with a prefix tree of fixed depth
+(number of tokens, first tokens, then likeness within the leaf); rare lines of open records that are like a template take it.
+
+Each template gets one verdict. It is residue if at least half of its addresses hold nothing but residue (a fixed point, reached by
+taking templates away) and one of these holds:
+
+* it names itself: it has a phrase of PHRASES or is nothing but filler;
+* its pages failed: at least FAILED_PAGES of its pages, and FAILED_SHARE of them, came with a status of 400 or more;
+* it keeps no company: it stands on at least SPREAD_PAGES addresses of SPREAD_HOSTS hosts, and neither the line before, nor the line after,
+  nor the longest other line of its records is the same in more than COMPANY_SHARE of them. (The lines of a copied article
+  keep the company of the others.)
+
+Verdicts go back to the lines. A record is residue if all its lines are residue, unresolved slots, labels (a site's name, a
+reference number) or headings, and at least one is residue or a slot. Slots are found line by line.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.dom import parse
 from skeinwork.llm.main_content import blocks_of, main_element, within
 from skeinwork.session import cut_lineage
 
-#: Messages have at most so many words.
-MESSAGE_WORDS = 30
+#: Addresses that make a line known.
+LEAST = 3
 #: Depth of the prefix tree below the number of tokens, and the share of equal tokens that joins a line to a template.
 DEPTH, LIKENESS = 2, 0.6
 RESIDUE_SHARE = 0.5
+FAILED_PAGES, FAILED_SHARE = 3, 0.15
+SPREAD_PAGES, SPREAD_HOSTS, COMPANY_SHARE = 5, 3, 0.5
+#: Words beside each slot of a line that is an unfilled template.
+WORDS_PER_SLOT = 8
 
-# fixed values: phrases of messages and notices (English, German, French, Spanish, Italian, Portuguese, Dutch, Russian), lower case
+# fixed values: phrases by which a verdict on a template may be made at once (English, German, French, Spanish, Italian, Portuguese, Dutch, Russian), lower case
 PHRASES = """
 not found|could not be found|no longer available|no longer exists|access denied|forbidden|permission to view|not authorized|not authorised|javascript|script|temporarily unavailable|service unavailable
 server error|too many requests|went wrong|coming soon|subscribe to read|under construction|still building|checking your browser|loading|active content|content goes here|your text|replace this text|placeholder|sample heading|sample paragraph|sample text|sample caption
@@ -80,71 +96,99 @@ _MASKS = [
     (re.compile(r"\d+"), "<n>"),
 ]
 
-HEADING, SLOT, FILLER, LABEL, MESSAGE, TEXT = range(6)
+_VARIES = re.compile(r"[\d'\"/.]")
+_FILLED, _REPEATED = "<filler>", "<repeated>"
+_FOUR = re.compile(r"[\W_]*(?:[^\W_]+[\W_]+){3}[^\W_]")
+
+LINE, SLOT, LABEL, HEADING = range(4)
 
 
 def mask(line: str) -> str:
-    """A line without what varies: a leading site name, letter case, paths, files, quoted words, ids and numbers."""
+    """A line without what varies: a leading site name, letter case, paths, files, quoted words, ids, numbers and filler."""
     line = _NAMED.sub("", line.strip()).lower()
-    for pattern, name in _MASKS:
-        line = pattern.sub(name, line)
-    return " ".join(line.split())
+    if _VARIES.search(line):
+        for pattern, name in _MASKS:
+            line = pattern.sub(name, line)
+    parts = line.split()
+    if len(parts) >= 4:
+        if any(parts[p:] == parts[:-p] for p in (1, 2, 3) if len(parts) >= 2 * p + 2):
+            return _REPEATED
+        own = [x.strip(".,;:!?") for x in parts]
+        distinct = len(set(own))
+        if len(own) >= 6 and distinct <= max(2, len(own) // 5):
+            return _REPEATED
+        if distinct >= 3 and sum(x in _FILLER for x in own) >= 0.7 * len(own):
+            return _FILLED
+    return " ".join(parts)
+
+
+def names_itself(line: str, masked: str) -> bool:
+    """Whether a line is filler or has a phrase or form of messages."""
+    low = line.strip().lower()
+    return masked in (_FILLED, _REPEATED) or bool(_STATUS.match(low) or _says(f" {low} ") or any(x in low for x in _FORM_SIGNS) and _FORMS.search(low))
 
 
 def kind_of(line: str) -> int:
-    low = line.lower()
-    parts = low.split()
-    distinct = set(parts)
-    if len(parts) >= 4 and len(distinct & _FILLER) >= min(3, len(distinct)) or len(parts) >= 6 and 4 * len(distinct) <= len(parts) + 4:
-        words = _WORD.findall(low)
-        if len(words) >= 4 and sum(w in _FILLER for w in words) >= 0.7 * len(words):
-            return FILLER
-        if len(words) >= 6 and len(set(words)) <= max(2, len(words) // 5):
-            return FILLER
-    if any(x in line for x in _SLOT_SIGNS) and SLOTS.search(line):
-        left = _WORD.findall(SLOTS.sub(" ", line))
-        return SLOT if len(left) <= MESSAGE_WORDS else TEXT
-    if len(parts) > 2 * MESSAGE_WORDS:
-        return TEXT
-    words = _WORD.findall(low)
-    if len(words) <= MESSAGE_WORDS and (_STATUS.match(low) or _says(f" {low} ") or any(x in low for x in _FORM_SIGNS) and _FORMS.search(low)):
-        return MESSAGE
-    if _REF.search(line) or (len(words) <= 3 and not line.rstrip().endswith((".", "!", "?", "…"))):
+    """SLOT: little but unresolved slots; LABEL: up to three words that are no sentence, or a reference; else LINE."""
+    if any(x in line for x in _SLOT_SIGNS) and (slots := len(SLOTS.findall(line))):
+        return SLOT if len(_WORD.findall(SLOTS.sub(" ", line))) <= WORDS_PER_SLOT * slots else LINE
+    if not _FOUR.match(line) and not line.rstrip().endswith((".", "!", "?", "…")) or _REF.search(line):
         return LABEL
-    return TEXT
+    return LINE
 
 
 class PrefixTree:
-    """Templates of masked lines: number of tokens, then DEPTH tokens, then the most alike template of the leaf."""
+    """Templates of masked lines: number of tokens, then DEPTH tokens, then the most alike template of the leaf.
+
+    Templates of a leaf are found through their tokens, so that adding a line does not walk the whole leaf.
+    """
 
     def __init__(self, depth: int = DEPTH, likeness: float = LIKENESS):
         self.depth, self.likeness = depth, likeness
         self.leaves: dict[tuple, list[list[str]]] = {}
+        self.holders: dict[tuple, dict[tuple[int, str], list[int]]] = {}
 
     def leaf(self, tokens: list[str]) -> tuple:
         return (len(tokens), *(("<*>" if any(c.isdigit() or c in "<>" for c in t) else t) for t in tokens[: self.depth]))
 
+    def _best(self, leaf: tuple, tokens: list[str]) -> int | None:
+        holders = self.holders.get(leaf, {})
+        same = Counter(k for at in enumerate(tokens) for k in holders.get(at, ()))
+        best = min(same, key=lambda k: (-same[k], k), default=None)
+        return best if best is not None and same[best] >= self.likeness * len(tokens) else None
+
+    def find(self, masked: str) -> list[str] | None:
+        """The template most like a line (of equals the first), if enough of their tokens are equal."""
+        tokens = masked.split()
+        leaf = self.leaf(tokens)
+        best = self._best(leaf, tokens)
+        return None if best is None else self.leaves[leaf][best]
+
     def add(self, masked: str) -> list[str]:
         """The template of a line: its tokens, <*> where its lines differ (changed in place by later lines)."""
         tokens = masked.split()
-        own = self.leaves.setdefault(self.leaf(tokens), [])
-        best, most = None, -1.0
-        for template in own:
-            same = sum(a == b for a, b in zip(template, tokens)) / max(1, len(tokens))
-            if same > most:
-                best, most = template, same
-        if best is None or most < self.likeness:
-            best = list(tokens)
-            own.append(best)
-        else:
-            for k, t in enumerate(tokens):
-                if best[k] != t:
-                    best[k] = "<*>"
-        return best
-
-
-def _leaf_key(masked: str) -> str:
-    return "\t".join(map(str, PrefixTree().leaf(masked.split())))
+        leaf = self.leaf(tokens)
+        own, holders = self.leaves.setdefault(leaf, []), self.holders.setdefault(leaf, {})
+        best = self._best(leaf, tokens)
+        if best is None:
+            for at in enumerate(tokens):
+                holders.setdefault(at, []).append(len(own))
+            own.append(list(tokens))
+            return own[-1]
+        template = own[best]
+        for k, t in enumerate(tokens):
+            if template[k] not in (t, "<*>"):
+                holders[(k, template[k])].remove(best)
+                template[k] = "<*>"
+        return template
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def leaf_key(masked: str) -> int:
+    return _hash("\t".join(map(str, PrefixTree().leaf(masked.split()))))
 
 
 def lines_of_content(content: str | None, title: str | None) -> list[tuple[int, str]]:
@@ -154,7 +198,7 @@ def lines_of_content(content: str | None, title: str | None) -> list[tuple[int,
         line = line.strip().lstrip("-*• ").strip()
         if line:
             kind = kind_of(line)
-            out.append((HEADING if kind == TEXT and title and line == title.strip() else kind, line))
+            out.append((HEADING if kind == LINE and title and line == title.strip() else kind, line))
     return out
 
 
@@ -173,78 +217,193 @@ def lines_of_page(page: str | None) -> list[tuple[int, str]]:
         if within(b.node, main):
             for line in filter(str.strip, b.text.split("\n")):
                 kind = kind_of(line)
-                out.append((HEADING if kind == TEXT and b.node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else kind, line))
+                out.append((HEADING if kind == LINE and b.node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else kind, line))
     return out
 
 
-def residue_rows(lines: DataFrame) -> DataFrame:
-    """``tbl, id`` of the residue rows among ``tbl, id, text_lines, sure_lines, messages array<string>`` (masked).
+_SUMMARY = pa.schema(
+    [
+        ("id", pa.int64()), ("src", pa.int64()), ("host", pa.int64()), ("failed", pa.bool_()),
+        ("keys", pa.list_(pa.int64())), ("leaves", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int8())), ("named", pa.list_(pa.bool_())),
+        ("texts", pa.list_(pa.string())), ("top_key", pa.int64()), ("top_leaf", pa.int64()),
+    ]
+)
+_LINES = "id long, src long, host long, failed boolean, keys array<long>, leaves array<long>, kinds array<byte>, named array<boolean>, texts array<string>, top_key long, top_leaf long"
 
-    Counts are taken over all rows; equal masked lines are summed before the shuffle, so a message that stands in a third of all
-    rows costs one row per task. The prefix tree sees each distinct masked line once, leaf by leaf.
-    """
-    lines = cut_lineage(lines)  # read twice below; only rows with a message, slot or filler line are left
-    said = lines.select(F.explode(F.array_distinct("messages")).alias("masked"), (F.col("text_lines") == 0).cast("long").alias("alone"))
-    counts = said.groupBy("masked").agg(F.count("*").alias("n"), F.sum("alone").alias("alone"))
 
-    @F.pandas_udf("string")
-    def leaf_of(masked: pd.Series) -> pd.Series:
-        return masked.map(_leaf_key)
+def _summary(batch: pa.RecordBatch, found: list[list[tuple[int, str]]]) -> pa.RecordBatch:
+    """One row per record with any line. top: its longest line that must be known for the record to be open; null if none must."""
+    rows = []
+    own = zip(batch.column("id").to_pylist(), batch.column("src").to_pylist(), batch.column("host").to_pylist(), batch.column("failed").to_pylist())
+    for (i, src, host, failed), lines in zip(own, found):
+        if not lines:
+            continue
+        texts = ["" if k == SLOT else mask(x) for k, x in lines]
+        named = [k != SLOT and names_itself(x, m) for (k, x), m in zip(lines, texts)]
+        keys = [0 if k == SLOT else _hash(m) for (k, _), m in zip(lines, texts)]
+        leaves = [0 if k == SLOT else leaf_key(m) for (k, _), m in zip(lines, texts)]
+        needed = [(len(m), n) for n, ((k, _), m) in enumerate(zip(lines, texts)) if k == LINE and not named[n]]
+        top = max(needed)[1] if needed else None
+        rows.append((i, src, host, failed, keys, leaves, [k for k, _ in lines], named, texts, *((None, None) if top is None else (keys[top], leaves[top]))))
+    columns = list(zip(*rows)) if rows else [()] * len(_SUMMARY)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SUMMARY.types)], schema=_SUMMARY)
+
+
+def _addressed(df: DataFrame, tbl: str, id_col: str, url_col: str, failed, *others) -> DataFrame:
+    """id; src and host as hashes of the address (a row without address is its own); whether its fetch failed."""
+    url = F.lower(url_col)
+    src = F.when(url.isNull(), F.xxhash64(F.lit(tbl), id_col)).otherwise(F.xxhash64(url))
+    host = F.xxhash64(F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1))
+    return df.select(F.col(id_col).cast("long").alias("id"), src.alias("src"), host.alias("host"), failed.alias("failed"), *others)
+
+
+def content_lines(docs: DataFrame, id_col: str, url_col: str, content_col: str, title_col: str, tbl: str) -> DataFrame:
+    """Line summary of records; null and empty contents give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield _summary(part, [lines_of_content(c, t) for c, t in zip(part.column("content").to_pylist(), part.column("title").to_pylist())])
+
+    own = docs.filter(F.length(content_col) > 0)
+    own = _addressed(own, tbl, id_col, url_col, F.lit(None).cast("boolean"), F.col(content_col).alias("content"), F.col(title_col).alias("title"))
+    return own.mapInArrow(run, _LINES).select(F.lit(tbl).alias("tbl"), "*")
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = PrefixTree()
-        pdf = pdf.sort_values(["n", "masked"], ascending=[False, True])
-        templates = [tree.add(m) for m in pdf["masked"]]
-        sums: dict[int, list[int]] = {}
-        for t, n, alone in zip(templates, pdf["n"], pdf["alone"]):
-            s = sums.setdefault(id(t), [0, 0])
-            s[0] += n
-            s[1] += alone
-        verdict = [sums[id(t)][1] >= RESIDUE_SHARE * sums[id(t)][0] for t in templates]
-        return pd.DataFrame({"masked": pdf["masked"], "template": [" ".join(t) for t in templates], "residue": verdict})
 
-    leaves = counts.withColumn("leaf", leaf_of("masked"))
-    verdicts = leaves.groupBy("leaf").applyInPandas(judge, "masked string, template string, residue boolean")
+def page_residue_lines(pages: DataFrame, id_col: str, url_col: str, status_col: str, html_col: str, type_col: str, tbl: str) -> DataFrame:
+    """Line summary of pages; files that are not HTML (by their type, or without any tag), null and empty pages give none."""
 
-    open_ = lines.filter((F.col("text_lines") == 0) & ((F.col("sure_lines") > 0) | (F.size("messages") > 0)))
-    each = open_.select("tbl", "id", "sure_lines", F.explode_outer("messages").alias("masked"))
-    judged = each.join(verdicts.select("masked", "residue"), "masked", "left")
-    rows = judged.groupBy("tbl", "id").agg(F.max("sure_lines").alias("sure"), F.count("masked").alias("said"), F.sum(F.when(F.col("residue"), 1).otherwise(0)).alias("bad"))
-    return rows.filter((F.col("said") == F.col("bad")) & (F.col("said") + F.col("sure") > 0)).select("tbl", "id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield _summary(part, [lines_of_page(h) for h in part.column("html").to_pylist()])
 
+    is_html = F.col(type_col).isNull() | F.lower(type_col).rlike("html")
+    own = pages.filter(is_html & F.col(html_col).rlike(r"<\s*[!/]?[A-Za-z]"))
+    own = _addressed(own, tbl, id_col, url_col, F.col(status_col) >= 400, F.col(html_col).alias("html"))
+    return own.mapInArrow(run, _LINES).select(F.lit(tbl).alias("tbl"), "*")
 
-_LINES = "tbl string, id long, text_lines int, sure_lines int, messages array<string>"
 
+def _exploded(rows: DataFrame, *names: str) -> DataFrame:
+    """tbl, id and one row per line with the elements of the named arrays (without their plural)."""
+    single = {"keys": "key", "leaves": "leaf", "kinds": "kind", "named": "named", "texts": "text"}
+    kept = [c for c in ("tbl", "id", "src", "host", "failed") if c in rows.columns]
+    each = rows.select(*kept, F.posexplode(F.arrays_zip(*names)).alias("pos", "x"))
+    return each.select(*kept, "pos", *[F.col(f"x.{n}").alias(single[n]) for n in names])
 
-def _summary(tbl: str, ids: list, found: list[list[tuple[int, str]]]) -> pd.DataFrame:
-    rows = []
-    for i, lines in zip(ids, found):
-        text = sum(k == TEXT for k, _ in lines)
-        sure = sum(k in (SLOT, FILLER) for k, _ in lines)
-        said = [mask(x) for k, x in lines if k == MESSAGE]
-        if said or (not text and sure):
-            rows.append((tbl, i, text, sure, said))
-    return pd.DataFrame(rows, columns=["tbl", "id", "text_lines", "sure_lines", "messages"])
 
+def _must_be_known(rows: DataFrame) -> DataFrame:
+    return _exploded(rows, "keys", "leaves", "kinds", "named").filter((F.col("kind") == LINE) & ~F.col("named")).select("tbl", "id", "key", "leaf")
 
-def content_lines(docs: DataFrame, id_col: str, content_col: str, title_col: str, tbl: str) -> DataFrame:
-    """Line summary of records; null and empty contents give none. Rows without any message, slot or filler are left out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield _summary(tbl, pdf["id"].tolist(), [lines_of_content(c, t) for c, t in zip(pdf["content"], pdf["title"])])
+def open_records(lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows of lines all of whose lines are known, or rare but in the leaf of a known line of an open record.
 
-    own = docs.filter(F.length(content_col) > 0)
-    return own.select(F.col(id_col).alias("id"), F.col(content_col).alias("content"), F.col(title_col).alias("title")).mapInPandas(run, _LINES)
+    A record is looked up by its longest line first, so that most are closed by one row each.
+    """
+    narrow = lines.drop("texts")
+    often = counts.filter(F.col("n") >= LEAST).select("key")
+    first = narrow.filter(F.col("top_key").isNull()).unionByName(narrow.join(often.withColumnRenamed("key", "top_key"), "top_key", "left_semi").select(narrow.columns))
+    first = cut_lineage(first)
+    rare = cut_lineage(_must_be_known(first).join(often, "key", "left_anti").select("tbl", "id", "leaf").distinct())
+    known = first.join(rare.select("tbl", "id"), ["tbl", "id"], "left_anti")
+    leaves = cut_lineage(_exploded(known, "leaves").select("leaf").distinct())
+    later = narrow.join(leaves.withColumnRenamed("leaf", "top_leaf"), "top_leaf", "left_semi").select(narrow.columns)
+    late = _must_be_known(later).join(often, "key", "left_anti").select("tbl", "id", "leaf").distinct()
+    loose = rare.unionByName(late)
+    like = loose.select("tbl", "id").distinct().join(loose.join(leaves, "leaf", "left_anti").select("tbl", "id"), ["tbl", "id"], "left_anti")
+    wanted = known.select("tbl", "id").unionByName(like).distinct()
+    return lines.join(wanted, ["tbl", "id"], "left_semi").select(lines.columns)
+
+
+def mined_templates(each: DataFrame, counts: DataFrame) -> DataFrame:
+    """``key, template, says, firm, n`` of the lines of open records; lines that fit no template have none.
+
+    says: the template names itself; firm: at least two words of it, and three quarters of it, are the same in all its lines.
+    A leaf holds each distinct masked line once.
+    """
+    words = each.filter(F.col("kind") != SLOT).groupBy("key").agg(F.first("leaf").alias("leaf"), F.min("text").alias("text"), F.max("named").alias("named"))
+    words = words.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
 
+    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = PrefixTree()
+        pdf = pdf.sort_values(["n", "text"], ascending=[False, True])
+        seed = (pdf["n"] >= LEAST) | pdf["named"]
+        found = {k: tree.add(t) for k, t in zip(pdf["key"][seed], pdf["text"][seed])}
+        found |= {k: m for k, t in zip(pdf["key"][~seed], pdf["text"][~seed]) if (m := tree.find(t)) is not None}
+        voices: dict[int, list[bool]] = {}
+        for k, named in zip(pdf["key"], pdf["named"]):
+            if k in found:
+                voices.setdefault(id(found[k]), []).append(bool(named))
+        rows = []
+        for k, n in zip(pdf["key"], pdf["n"]):
+            if k in found:
+                own = found[k]
+                fixed = [t for t in own if t != "<*>"]
+                firm = len(fixed) >= 0.75 * len(own) and sum(any(c.isalpha() for c in t) for t in fixed) >= 2
+                said = 2 * sum(voices[id(own)]) >= len(voices[id(own)])
+                rows.append((k, _hash(f"{pdf['leaf'].iloc[0]} {' '.join(own)}"), said, firm, n))
+        return pd.DataFrame(rows, columns=["key", "template", "says", "firm", "n"])
+
+    return words.groupBy("leaf").applyInPandas(mine, "key long, template long, says boolean, firm boolean, n long")
+
+
+def template_verdicts(each: DataFrame, templates: DataFrame) -> DataFrame:
+    """``template, all`` of those that may be residue, by the lines (with their template) of the open records.
+
+    all: the addresses with a line of the template, each counted once per different line.
+    """
+    placed = each.withColumn("size", F.length("text"))
+    here, around = Window.partitionBy("tbl", "id").orderBy("pos"), Window.partitionBy("tbl", "id")
+    known = F.when(F.col("template").isNotNull(), F.struct("size", "template"))
+    placed = placed.withColumn("before", F.lag("template").over(here)).withColumn("after", F.lead("template").over(here)).withColumn("longest", F.max(known).over(around)["template"])
+    placed = placed.withColumn("second", F.max(F.when(F.col("template") != F.col("longest"), F.struct("size", "template"))).over(around)["template"])
+    placed = placed.filter(F.col("template").isNotNull()).withColumn("other", F.when(F.col("template") == F.col("longest"), F.col("second")).otherwise(F.col("longest")))
+    once = placed.groupBy("tbl", "id", "template").agg(*[F.min_by(c, "pos").alias(c) for c in ("src", "host", "failed", "before", "after", "other")])
+    once = cut_lineage(once)
+
+    total = templates.groupBy("template").agg(F.sum("n").alias("all"), F.max("says").alias("says"), F.max("firm").alias("firm"))
+    pages = once.groupBy("template", "src").agg(F.max("failed").alias("failed"), F.count("*").alias("records"))
+    pages = pages.groupBy("template").agg(F.count("*").alias("srcs"), F.sum("records").alias("records"), F.count("failed").alias("pages"), F.sum(F.col("failed").cast("int")).alias("failed"))
+    hosts = once.groupBy("template", "host").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("hosts"))
+    mates = once.select("template", F.explode(F.map_from_arrays(F.array(F.lit(0), F.lit(1), F.lit(2)), F.array("before", "after", "other"))).alias("side", "mate"))
+    mates = mates.filter(F.col("mate").isNotNull() & (F.col("mate") != F.col("template"))).groupBy("template", "side", "mate").agg(F.count("*").alias("met"))
+    mates = mates.groupBy("template").agg(F.max("met").alias("met"))
+    known = total.join(pages, "template").join(hosts, "template").join(mates, "template", "left")
+    failed = (F.col("failed") >= FAILED_PAGES) & (F.col("failed") >= FAILED_SHARE * F.col("pages"))
+    spread = F.col("firm") & (F.col("srcs") >= SPREAD_PAGES) & (F.col("hosts") >= SPREAD_HOSTS) & (F.coalesce("met", F.lit(0)) <= COMPANY_SHARE * F.col("records"))
+    return known.filter(F.col("says") | F.coalesce(failed, F.lit(False)) | spread).select("template", "all")
+
+
+def _judged(each: DataFrame, bad: DataFrame) -> DataFrame:
+    """each with ``bad``, and without the records that have a line that is not."""
+    marked = each.join(bad.select("template").withColumn("bad", F.lit(True)), "template", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    content = marked.filter((F.col("kind") == LINE) & ~F.col("bad")).select("tbl", "id").distinct()
+    return marked.join(content, ["tbl", "id"], "left_anti")
 
-def page_residue_lines(pages: DataFrame, id_col: str, html_col: str, type_col: str, tbl: str) -> DataFrame:
-    """Line summary of pages; files that are not HTML, null and empty pages give none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield _summary(tbl, pdf["id"].tolist(), [lines_of_page(h) for h in pdf["html"]])
+def residue_rows(lines: DataFrame) -> DataFrame:
+    """``tbl, id`` of the residue rows among the line summaries (of ``content_lines`` and ``page_residue_lines``).
 
-    is_html = F.col(type_col).isNull() | F.lower(type_col).rlike("html")
-    own = pages.filter(is_html & F.col(html_col).rlike(r"(?i)<\s*(!doctype|html|head|body|div|p|h1|article|main|section|table)\b"))
-    return own.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(run, _LINES)
+    Counts are taken over all rows; lines travel as hashes, and texts only of open records. Spark jobs run while the
+    query is built: the summaries and the open records are written to the shared folder. An empty table gives no rows.
+    """
+    lines = cut_lineage(lines)
+    told = lines.select("src", F.explode(F.array_distinct("keys")).alias("key")).filter(F.col("key") != 0)
+    counts = cut_lineage(told.groupBy("key", "src").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    rows = cut_lineage(open_records(lines, counts))
+    each = _exploded(rows, "keys", "leaves", "kinds", "named", "texts")
+    templates = cut_lineage(mined_templates(each, counts))
+    each = cut_lineage(each.join(templates.select("key", "template"), "key", "left"))
+    unknown = each.filter((F.col("kind") == LINE) & F.col("template").isNull()).select("tbl", "id").distinct()
+    each = each.join(unknown, ["tbl", "id"], "left_anti")
+    bad = cut_lineage(template_verdicts(each, templates))
+    left, before = bad.count(), -1
+    while left != before:  # every round but the last takes templates away
+        alone = _judged(each, bad).filter("bad").groupBy("template", "key", "src").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("alone"))
+        bad = cut_lineage(bad.join(alone, "template").filter(F.col("alone") >= RESIDUE_SHARE * F.col("all")).select("template", "all"))
+        left, before = bad.count(), left
+    sign = (F.col("kind") == SLOT) | F.col("bad") & ((F.col("kind") != LABEL) | F.col("named"))
+    return _judged(each, bad).groupBy("tbl", "id").agg(F.max(sign).alias("sign")).filter("sign").select("tbl", "id")
