@@ -355,11 +355,11 @@ def template_verdicts(each: DataFrame, templates: DataFrame) -> DataFrame:
 
     all: the addresses with a line of the template, each counted once per different line.
     """
-    placed = each.withColumn("size", F.length("text"))
+    placed = each.withColumn("size", F.length("text")).withColumn("said", F.when(F.col("kind") == LINE, F.col("template")))
     here, around = Window.partitionBy("tbl", "id").orderBy("pos"), Window.partitionBy("tbl", "id")
-    known = F.when(F.col("template").isNotNull(), F.struct("size", "template"))
-    placed = placed.withColumn("before", F.lag("template").over(here)).withColumn("after", F.lead("template").over(here)).withColumn("longest", F.max(known).over(around)["template"])
-    placed = placed.withColumn("second", F.max(F.when(F.col("template") != F.col("longest"), F.struct("size", "template"))).over(around)["template"])
+    placed = placed.withColumn("before", F.lag("said").over(here)).withColumn("after", F.lead("said").over(here))
+    placed = placed.withColumn("longest", F.max(F.when(F.col("said").isNotNull(), F.struct("size", "said"))).over(around)["said"])
+    placed = placed.withColumn("second", F.max(F.when(F.col("said") != F.col("longest"), F.struct("size", "said"))).over(around)["said"])
     placed = placed.filter(F.col("template").isNotNull()).withColumn("other", F.when(F.col("template") == F.col("longest"), F.col("second")).otherwise(F.col("longest")))
     once = placed.groupBy("tbl", "id", "template").agg(*[F.min_by(c, "pos").alias(c) for c in ("src", "host", "failed", "before", "after", "other")])
     once = cut_lineage(once)
