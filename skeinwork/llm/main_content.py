@@ -227,6 +227,9 @@ def main_text(page: str | None) -> str | None:
     return render([b for b in blocks if within(b.node, main)]) or None
 
 
+#: How extractors join the items of a list to a line.
+SEPARATORS = (" · ", " | ", " - ", " / ", " > ", ", ", " ")
+
 _BULLET = re.compile(r"^(?:[-*•]|\d+[.)]|#{1,6})\s+")
 
 
@@ -235,10 +238,8 @@ def line_key(line: str) -> int:
     return xxhash.xxh64_intdigest(_BULLET.sub("", _SPACE.sub(" ", line).strip())) - (1 << 63)
 
 
-def page_lines(page: str) -> tuple[set[int], set[int]]:
+def page_lines(blocks: list[Block], main: Node | None) -> tuple[set[int], set[int]]:
     """Keys of the lines within and outside the main body; lists outside also joined the ways extractors join them."""
-    blocks = blocks_of(parse(page))
-    main = main_element(blocks)
     inside: set[int] = set()
     outside: set[int] = set()
     lists: dict[int, list[str]] = {}
@@ -248,23 +249,33 @@ def page_lines(page: str) -> tuple[set[int], set[int]]:
         if into is outside and b.mark:
             lists.setdefault(id(b.node.parent), []).append(b.text)
     for items in lists.values():
-        outside.update(line_key(sep.join(items)) for sep in (" · ", " | ", " - ", " / ", " > ", ", ", " "))
+        outside.update(line_key(sep.join(items)) for sep in SEPARATORS)
     return inside, outside - inside
 
 
-def foreign_lines(docs: DataFrame, pages: DataFrame) -> DataFrame:
+def page_sides(pages: DataFrame) -> DataFrame:
+    """``url, page_id, outside`` (line keys from outside the main body) of pages (url, page_id, html) with an address and html."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for u, p, h in zip(pdf["url"], pdf["page_id"], pdf["html"]):
+                blocks = blocks_of(parse(h))
+                rows.append((u, p, list(page_lines(blocks, main_element(blocks))[1])))
+            yield pd.DataFrame(rows, columns=["url", "page_id", "outside"])
+
+    own = pages.filter(F.col("url").isNotNull() & (F.length("html") > 0)).select("url", "page_id", "html")
+    return own.mapInPandas(read, "url string, page_id long, outside array<long>")
+
+
+def foreign_lines(docs: DataFrame, sides: DataFrame) -> DataFrame:
     """``uid, line_no`` of the lines of docs (uid, url, rec_id, content) from outside the main body of the page of their url.
 
-    pages: url, page_id, html. Of several deliveries the one of the least id counts, of pages the first with html. Each
+    sides: url, page_id, outside (see ``page_sides``). Of several deliveries the one of the least id counts, of pages the first with html. Each
     side is reduced to hashes of its lines before the join, so no page or text is shuffled. Null contents, urls and
     pages give nothing; blank lines are no lines.
     """
 
-    def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(u, p, list(page_lines(h)[1])) for u, p, h in zip(pdf["url"], pdf["page_id"], pdf["html"])]
-            yield pd.DataFrame(rows, columns=["url", "page_id", "outside"])
-
     def read_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -273,8 +284,6 @@ def foreign_lines(docs: DataFrame, pages: DataFrame) -> DataFrame:
                 rows.append((r, u, url, [k for k, _ in lines], [h for _, h in lines]))
             yield pd.DataFrame(rows, columns=["rec_id", "uid", "url", "nos", "keys"])
 
-    own = pages.filter(F.col("url").isNotNull() & (F.length("html") > 0)).select("url", "page_id", "html")
-    sides = own.mapInPandas(read_pages, "url string, page_id long, outside array<long>")
     sides = sides.groupBy("url").agg(F.min_by("outside", "page_id").alias("outside"))
     texts = docs.filter(F.col("content").isNotNull() & F.col("url").isNotNull()).select("rec_id", "uid", "url", "content")
     lines = texts.mapInPandas(read_docs, "rec_id long, uid string, url string, nos array<int>, keys array<long>")

@@ -20,6 +20,7 @@ reference number) or headings, and at least one is residue or a slot. Slots are
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.dom import parse
-from skeinwork.llm.main_content import blocks_of, main_element, within
+from skeinwork.llm.main_content import Block, Node, blocks_of, main_element, page_lines, within
 from skeinwork.session import cut_lineage
 
 #: Addresses that make a line known.
@@ -88,15 +89,11 @@ def _searcher():
 _says = _searcher()
 _REF = re.compile(r"\s-\s*ref\s+\S+$", re.I)
 _NAMED = re.compile(r"^[^\W\d_]\w*:\s+(?=[^\W_])")
-_MASKS = [
-    (re.compile(r"https?://\S+|(?<!\w)/[\w./\-]+"), "<path>"),
-    (re.compile(r"\b[\w\-]+\.(?:\w{2,4})\b(?=[,\s:]|$)"), "<file>"),
-    (re.compile(r"'[^']*'|\"[^\"]*\""), "<quoted>"),
-    (re.compile(r"\b(?=\w*\d)(?=\w*[a-z])\w+\b"), "<id>"),
-    (re.compile(r"\d+"), "<n>"),
-]
-
-_VARIES = re.compile(r"[\d'\"/.]")
+_PATH = re.compile(r"https?://\S+|(?<!\w)/[\w./\-]+")
+_FILE = re.compile(r"\b[\w\-]+\.(?:\w{2,4})\b(?=[,\s:]|$)")
+_QUOTED = re.compile(r"'[^']*'|\"[^\"]*\"")
+_ID = re.compile(r"\b(?=\w*\d)(?=\w*[a-z])\w+\b")
+_DIGITS = re.compile(r"\d+")
 _FILLED, _REPEATED = "<filler>", "<repeated>"
 _FOUR = re.compile(r"[\W_]*(?:[^\W_]+[\W_]+){3}[^\W_]")
 
@@ -106,18 +103,24 @@ LINE, SLOT, LABEL, HEADING = range(4)
 def mask(line: str) -> str:
     """A line without what varies: a leading site name, letter case, paths, files, quoted words, ids, numbers and filler."""
     line = _NAMED.sub("", line.strip()).lower()
-    if _VARIES.search(line):
-        for pattern, name in _MASKS:
-            line = pattern.sub(name, line)
+    if "/" in line:
+        line = _PATH.sub("<path>", line)
+    if "." in line[:-1]:
+        line = _FILE.sub("<file>", line)
+    if "'" in line or '"' in line:
+        line = _QUOTED.sub("<quoted>", line)
+    if _DIGITS.search(line):
+        line = _DIGITS.sub("<n>", _ID.sub("<id>", line))
     parts = line.split()
     if len(parts) >= 4:
-        if any(parts[p:] == parts[:-p] for p in (1, 2, 3) if len(parts) >= 2 * p + 2):
+        for p in (1, 2, 3):
+            if len(parts) >= 2 * p + 2 and parts[0] == parts[p] and parts[p:] == parts[:-p]:
+                return _REPEATED
+        distinct = set(parts)
+        few = max(2, len(parts) // 5)
+        if len(parts) >= 6 and len(distinct) <= 3 * few and len({x.strip(".,;:!?") for x in parts}) <= few:
             return _REPEATED
-        own = [x.strip(".,;:!?") for x in parts]
-        distinct = len(set(own))
-        if len(own) >= 6 and distinct <= max(2, len(own) // 5):
-            return _REPEATED
-        if distinct >= 3 and sum(x in _FILLER for x in own) >= 0.7 * len(own):
+        if len(distinct & _FILLER) >= 2 and sum(x.strip(".,;:!?") in _FILLER for x in parts) >= 0.7 * len(parts):
             return _FILLED
     return " ".join(parts)
 
@@ -137,20 +140,22 @@ def kind_of(line: str) -> int:
     return LINE
 
 
+def leaf_of(tokens: list[str]) -> tuple:
+    """The path to a line's leaf: number of tokens, first DEPTH tokens (<*> for masked ones)."""
+    return (len(tokens), *("<*>" if "<" in t or _DIGITS.search(t) else t for t in tokens[:DEPTH]))
+
+
 class PrefixTree:
     """Templates of masked lines: number of tokens, then DEPTH tokens, then the most alike template of the leaf.
 
     Templates of a leaf are found through their tokens, so that adding a line does not walk the whole leaf.
     """
 
-    def __init__(self, depth: int = DEPTH, likeness: float = LIKENESS):
-        self.depth, self.likeness = depth, likeness
+    def __init__(self, likeness: float = LIKENESS):
+        self.likeness = likeness
         self.leaves: dict[tuple, list[list[str]]] = {}
         self.holders: dict[tuple, dict[tuple[int, str], list[int]]] = {}
 
-    def leaf(self, tokens: list[str]) -> tuple:
-        return (len(tokens), *(("<*>" if any(c.isdigit() or c in "<>" for c in t) else t) for t in tokens[: self.depth]))
-
     def _best(self, leaf: tuple, tokens: list[str]) -> int | None:
         holders = self.holders.get(leaf, {})
         same = Counter(k for at in enumerate(tokens) for k in holders.get(at, ()))
@@ -160,14 +165,14 @@ class PrefixTree:
     def find(self, masked: str) -> list[str] | None:
         """The template most like a line (of equals the first), if enough of their tokens are equal."""
         tokens = masked.split()
-        leaf = self.leaf(tokens)
+        leaf = leaf_of(tokens)
         best = self._best(leaf, tokens)
         return None if best is None else self.leaves[leaf][best]
 
     def add(self, masked: str) -> list[str]:
         """The template of a line: its tokens, <*> where its lines differ (changed in place by later lines)."""
         tokens = masked.split()
-        leaf = self.leaf(tokens)
+        leaf = leaf_of(tokens)
         own, holders = self.leaves.setdefault(leaf, []), self.holders.setdefault(leaf, {})
         best = self._best(leaf, tokens)
         if best is None:
@@ -188,7 +193,15 @@ def _hash(text: str) -> int:
 
 
 def leaf_key(masked: str) -> int:
-    return _hash("\t".join(map(str, PrefixTree().leaf(masked.split()))))
+    """The leaf of a line's tokens, as a hash."""
+    return _hash(repr(leaf_of(masked.split())))
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _marks(line: str) -> tuple[str, bool, int, int]:
+    """Masked text, whether it names itself, key and leaf of a line."""
+    masked = mask(line)
+    return masked, names_itself(line, masked), _hash(masked), leaf_key(masked)
 
 
 def lines_of_content(content: str | None, title: str | None) -> list[tuple[int, str]]:
@@ -208,7 +221,10 @@ def lines_of_page(page: str | None) -> list[tuple[int, str]]:
         return []
     root = parse(page)
     blocks = blocks_of(root)
-    main = main_element(blocks)
+    return _lines_of(root, blocks, main_element(blocks))
+
+
+def _lines_of(root: Node, blocks: list[Block], main: Node | None) -> list[tuple[int, str]]:
     if main is None:
         notices = [n.text().strip() for n in root.find_all("noscript")]
         return [(kind_of(x), x) for x in notices if x]
@@ -231,17 +247,16 @@ _SUMMARY = pa.schema(
 _LINES = "id long, src long, host long, failed boolean, keys array<long>, leaves array<long>, kinds array<byte>, named array<boolean>, texts array<string>, top_key long, top_leaf long"
 
 
-def _summary(batch: pa.RecordBatch, found: list[list[tuple[int, str]]]) -> pa.RecordBatch:
-    """One row per record with any line. top: its longest line that must be known for the record to be open; null if none must."""
+def _summary(batch: pa.RecordBatch, found: list[list[tuple[int, str]]], every: bool = False) -> pa.RecordBatch:
+    """One row per record with any line (with ``every``: per record). top: its longest line that must be known for the record to be open; null if none must."""
     rows = []
     own = zip(batch.column("id").to_pylist(), batch.column("src").to_pylist(), batch.column("host").to_pylist(), batch.column("failed").to_pylist())
     for (i, src, host, failed), lines in zip(own, found):
         if not lines:
+            if every:
+                rows.append((i, src, host, failed, (), (), (), (), (), None, None))
             continue
-        texts = ["" if k == SLOT else mask(x) for k, x in lines]
-        named = [k != SLOT and names_itself(x, m) for (k, x), m in zip(lines, texts)]
-        keys = [0 if k == SLOT else _hash(m) for (k, _), m in zip(lines, texts)]
-        leaves = [0 if k == SLOT else leaf_key(m) for (k, _), m in zip(lines, texts)]
+        texts, named, keys, leaves = zip(*(("", False, 0, 0) if k == SLOT else _marks(x) for k, x in lines))
         needed = [(len(m), n) for n, ((k, _), m) in enumerate(zip(lines, texts)) if k == LINE and not named[n]]
         top = max(needed)[1] if needed else None
         rows.append((i, src, host, failed, keys, leaves, [k for k, _ in lines], named, texts, *((None, None) if top is None else (keys[top], leaves[top]))))
@@ -280,12 +295,37 @@ def page_residue_lines(pages: DataFrame, id_col: str, url_col: str, status_col:
                 part = b.slice(at, 512)
                 yield _summary(part, [lines_of_page(h) for h in part.column("html").to_pylist()])
 
-    is_html = F.col(type_col).isNull() | F.lower(type_col).rlike("html")
-    own = pages.filter(is_html & F.col(html_col).rlike(r"<\s*[!/]?[A-Za-z]"))
+    own = pages.filter(_is_html(html_col, type_col))
     own = _addressed(own, tbl, id_col, url_col, F.col(status_col) >= 400, F.col(html_col).alias("html"))
     return own.mapInArrow(run, _LINES).select(F.lit(tbl).alias("tbl"), "*")
 
 
+def _is_html(html_col: str, type_col: str):
+    return F.coalesce((F.col(type_col).isNull() | F.lower(type_col).rlike("html")) & F.col(html_col).rlike(r"<\s*[!/]?[A-Za-z]"), F.lit(False))
+
+
+def pages_read_once(pages: DataFrame, id_col: str, url_col: str, status_col: str, html_col: str, type_col: str, tbl: str) -> DataFrame:
+    """The rows of ``page_residue_lines`` with ``url, outside`` (as of ``page_sides``) beside them, from one reading of every page with html."""
+    schema = pa.schema([*_SUMMARY, ("url", pa.string()), ("outside", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                found, outside = [], []
+                for h, is_html in zip(part.column("html").to_pylist(), part.column("is_html").to_pylist()):
+                    root = parse(h)
+                    blocks = blocks_of(root)
+                    main = main_element(blocks)
+                    found.append(_lines_of(root, blocks, main) if is_html else [])
+                    outside.append(list(page_lines(blocks, main)[1]))
+                rows = _summary(part, found, True)
+                yield pa.RecordBatch.from_arrays([*rows.columns, part.column("url").cast(pa.string()), pa.array(outside, pa.list_(pa.int64()))], schema=schema)
+
+    own = _addressed(pages.filter(F.length(html_col) > 0), tbl, id_col, url_col, F.col(status_col) >= 400, F.col(html_col).alias("html"), F.col(url_col).alias("url"), _is_html(html_col, type_col).alias("is_html"))
+    return own.mapInArrow(run, _LINES + ", url string, outside array<long>").select(F.lit(tbl).alias("tbl"), "*")
+
+
 def _exploded(rows: DataFrame, *names: str) -> DataFrame:
     """tbl, id and one row per line with the elements of the named arrays (without their plural)."""
     single = {"keys": "key", "leaves": "leaf", "kinds": "kind", "named": "named", "texts": "text"}
@@ -327,27 +367,44 @@ def mined_templates(each: DataFrame, counts: DataFrame) -> DataFrame:
     words = each.filter(F.col("kind") != SLOT).groupBy("key").agg(F.first("leaf").alias("leaf"), F.min("text").alias("text"), F.max("named").alias("named"))
     words = words.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
 
-    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
+    def mine(pdf: pd.DataFrame) -> Iterator[tuple]:
         tree = PrefixTree()
         pdf = pdf.sort_values(["n", "text"], ascending=[False, True])
-        seed = (pdf["n"] >= LEAST) | pdf["named"]
-        found = {k: tree.add(t) for k, t in zip(pdf["key"][seed], pdf["text"][seed])}
-        found |= {k: m for k, t in zip(pdf["key"][~seed], pdf["text"][~seed]) if (m := tree.find(t)) is not None}
+        lines = list(zip(pdf["key"], pdf["text"], pdf["n"], pdf["named"]))
+        found = {k: tree.add(t) for k, t, n, named in lines if n >= LEAST or named}
+        found |= {k: m for k, t, _, _ in lines if k not in found and (m := tree.find(t)) is not None}
         voices: dict[int, list[bool]] = {}
-        for k, named in zip(pdf["key"], pdf["named"]):
+        for k, _, _, named in lines:
             if k in found:
-                voices.setdefault(id(found[k]), []).append(bool(named))
-        rows = []
-        for k, n in zip(pdf["key"], pdf["n"]):
+                voices.setdefault(id(found[k]), []).append(named)
+        for k, _, n, _ in lines:
             if k in found:
                 own = found[k]
                 fixed = [t for t in own if t != "<*>"]
                 firm = len(fixed) >= 0.75 * len(own) and sum(any(c.isalpha() for c in t) for t in fixed) >= 2
                 said = 2 * sum(voices[id(own)]) >= len(voices[id(own)])
-                rows.append((k, _hash(f"{pdf['leaf'].iloc[0]} {' '.join(own)}"), said, firm, n))
-        return pd.DataFrame(rows, columns=["key", "template", "says", "firm", "n"])
+                yield k, _hash(f"{leaf_of(own)} {' '.join(own)}"), said, firm, n
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Leaf by leaf of a partition that is sorted by leaf."""
+        kept: list[pd.DataFrame] = []
+        for pdf in batches:
+            starts = [0, *(pdf["leaf"].to_numpy()[1:] != pdf["leaf"].to_numpy()[:-1]).nonzero()[0] + 1, len(pdf)]
+            rows: list[tuple] = []
+            for a, b in zip(starts, starts[1:]):
+                if kept and (a or kept[0]["leaf"].iloc[0] != pdf["leaf"].iloc[a]):
+                    rows += mine(pd.concat(kept))
+                    kept = []
+                kept.append(pdf.iloc[a:b])
+            yield pd.DataFrame(rows, columns=_TEMPLATES)
+        if kept:
+            yield pd.DataFrame(list(mine(pd.concat(kept))), columns=_TEMPLATES)
+
+    parts = int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInPandas(run, "key long, template long, says boolean, firm boolean, n long")
+
 
-    return words.groupBy("leaf").applyInPandas(mine, "key long, template long, says boolean, firm boolean, n long")
+_TEMPLATES = ["key", "template", "says", "firm", "n"]
 
 
 def template_verdicts(each: DataFrame, templates: DataFrame) -> DataFrame:
@@ -384,13 +441,15 @@ def _judged(each: DataFrame, bad: DataFrame) -> DataFrame:
     return marked.join(content, ["tbl", "id"], "left_anti")
 
 
-def residue_rows(lines: DataFrame) -> DataFrame:
+def residue_rows(lines: DataFrame, written: bool = False) -> DataFrame:
     """``tbl, id`` of the residue rows among the line summaries (of ``content_lines`` and ``page_residue_lines``).
 
     Counts are taken over all rows; lines travel as hashes, and texts only of open records. Spark jobs run while the
-    query is built: the summaries and the open records are written to the shared folder. An empty table gives no rows.
+    query is built: the summaries (unless they are ``written`` already) and the open records are written to the shared folder. An
+    empty table gives no rows.
     """
-    lines = cut_lineage(lines)
+    lines = lines.filter(F.size("keys") > 0)
+    lines = lines if written else cut_lineage(lines)
     told = lines.select("src", F.explode(F.array_distinct("keys")).alias("key")).filter(F.col("key") != 0)
     counts = cut_lineage(told.groupBy("key", "src").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
     rows = cut_lineage(open_records(lines, counts))

@@ -40,8 +40,8 @@ def test_foreign_lines(spark):
     pages = spark.createDataFrame([("u", 1, None), ("u", 2, PAGE), ("u", 3, "<p>other"), (None, 4, PAGE)], "url string, page_id long, html string")
     content = f"Home · News\n{PROSE}\n\nHome\n- Two\nShared prompt\nWe  use small files\nunknown line"
     docs = spark.createDataFrame([(2, "d", "u", "ignored"), (1, "d", "u", content), (3, "n", "u", None), (4, "m", "no page", "Home"), (5, "o", None, "Home")], "rec_id long, uid string, url string, content string")
-    assert sorted((r.uid, r.line_no) for r in M.foreign_lines(docs, pages).collect()) == [("d", 0), ("d", 3), ("d", 6)]
-    assert M.foreign_lines(docs.limit(0), pages.limit(0)).collect() == []
+    assert sorted((r.uid, r.line_no) for r in M.foreign_lines(docs, M.page_sides(pages)).collect()) == [("d", 0), ("d", 3), ("d", 6)]
+    assert M.foreign_lines(docs.limit(0), M.page_sides(pages.limit(0))).collect() == []
 
 
 def test_renderer_survives_anything():
