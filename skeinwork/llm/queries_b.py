@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.hosts import host_of
@@ -39,6 +39,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(docs, "text", size, overlap).filter(F.col("piece_no") == 1).select("uid", "field").distinct()
 
 
+def p3_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of p3_pieces: joined without the overlaps they are the text; none is too long; all overlap as specified."""
+    size, overlap = _limit(spark, sf_dir, "split")
+    own = Window.partitionBy("uid", "field").orderBy("piece_no")
+    late = F.col("piece_no") > 0
+    pieces = p3_pieces(spark, sf_dir).withColumn("before", F.lag("piece_text").over(own))
+    same = F.expr(f"right(before, {overlap}) = left(piece_text, {overlap})") if overlap else F.lit(True)
+    added = F.when(late, F.expr(f"substring(piece_text, {overlap + 1})")).otherwise(F.col("piece_text"))
+    sums = pieces.groupBy("uid", "field").agg(
+        F.sort_array(F.collect_list(F.struct("piece_no", added.alias("text")))).alias("parts"),
+        F.max((F.length("piece_text") > size).cast("int")).alias("too_long"),
+        F.sum(F.when(late & ~same, 1).otherwise(0)).alias("apart"),
+        F.max(F.col("piece_no")).alias("last"),
+    )
+    return sums.select("uid", "field", F.md5(F.array_join(F.col("parts.text"), "")).alias("digest"), "too_long", "apart", (F.col("last") > 0).cast("int").alias("cut"))
+
+
 def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "crawl_documents").select(host_of("url").alias("host"), "uid", "rec_id", "content")
 
@@ -54,7 +71,7 @@ def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_boilerplate(_hosted(spark, sf_dir), "host", "uid", "content", "rec_id")
-    return rows.select("rec_id", "uid", F.col("host").alias("domain"), "content", "lines_removed")
+    return rows.select("rec_id", "uid", F.col("host").alias("domain"), "content", "lines_removed", "blocks_removed")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +112,7 @@ def _form_sql() -> str:
     return f"nfc_normalize({form})"
 
 
-QUERIES = {f.__name__: f for f in (p3_pieces, p3_found, p4_found, p4_blocks, p4_clean, p8_ids, p9_packed, p10_text, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_pieces, p3_found, p3_rejoined, p4_found, p4_blocks, p4_clean, p8_ids, p9_packed, p10_text, p10_found)}
 SQL = {
     "p10_text": f"SELECT doc_id, {_form_sql()} AS canonical FROM documents",
     "p10_found": f"""WITH c AS MATERIALIZED (SELECT doc_id, text, {_form_sql()} AS form FROM documents)
@@ -105,6 +122,11 @@ SELECT DISTINCT uid, field FROM (
   SELECT uid, 'content' AS field, length(content) AS n FROM crawl_documents UNION ALL
   SELECT uid, 'markdown', length(markdown) FROM crawl_documents)
 WHERE n > (SELECT max_size FROM size_limits WHERE limit_name = 'split')""",
+    "p3_rejoined": """
+WITH d AS (SELECT uid, min_by(content, rec_id) AS content, min_by(markdown, rec_id) AS markdown FROM crawl_documents GROUP BY uid),
+t AS (SELECT uid, 'content' AS field, content AS text FROM d UNION ALL SELECT uid, 'markdown', markdown FROM d)
+SELECT uid, field, md5(text) AS digest, 0 AS too_long, 0 AS apart,
+  CASE WHEN length(text) > (SELECT max_size FROM size_limits WHERE limit_name = 'split') THEN 1 ELSE 0 END AS cut FROM t WHERE length(text) > 0""",
     "p4_found": r"""
 WITH d AS (SELECT DISTINCT uid, content, nullif(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(regexp_replace(trim(url), '^([a-zA-Z][a-zA-Z0-9+.\-]*:)?//', ''), '^[^/?#\\]*'), '^.*@', '')), ':\d*$', ''), '^www\.', ''), '') AS domain
            FROM crawl_documents WHERE content IS NOT NULL),

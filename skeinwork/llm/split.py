@@ -2,9 +2,9 @@
 
 Between any two neighbouring sentences or lines of a text, the words of the BLOCK units before and after are compared by
 cosine. Where the similarity is a valley between two higher sides lies a topic boundary, the deeper the more
-certain. A text is cut from the front: within the window of sizes allowed for the next piece, the cut is the paragraph
-end, else line end, else sentence end with the deepest valley; without any, the last word end; without that, the
-limit. Each piece but the first begins ``overlap`` characters before its predecessor's end.
+certain. A text is cut from the front: within the window of sizes allowed for the next piece, the cut is the deepest
+valley among the paragraph, line and sentence ends (of equally deep ones the paragraph end, else the line end, else the last);
+without any such end, the last word end; without that, the limit. Each piece but the first begins ``overlap`` characters before its predecessor's end.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def valley_depths(text: str, at: np.ndarray) -> np.ndarray:
     for g in range(len(sim) - 2, -1, -1):
         if sim[g + 1] >= sim[g]:
             right[g] = max(right[g + 1], sim[g])
-    return (left - sim) + (right - sim)
+    return np.round((left - sim) + (right - sim), 9)  # equal depths are ties, whatever the order of the sums
 
 
 def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
@@ -85,9 +85,7 @@ def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int]
         low, high = max(start + overlap + 1, start + int(max_size * LEAST)), start + max_size
         i, j = np.searchsorted(at, low), np.searchsorted(at, high, side="right")
         if j > i:
-            best = rank[i:j].max()
-            own = np.flatnonzero(rank[i:j] == best) + i
-            end = int(at[own[np.lexsort((at[own], depth[own]))[-1]]])  # of equal depths the last
+            end = int(at[i + np.lexsort((at[i:j], rank[i:j], depth[i:j]))[-1]])
         else:
             last = None
             for m in _SPACE.finditer(text, low - 1, high):

@@ -142,6 +142,19 @@ def test_pieces(text, size, overlap):
     assert joined == text
 
 
+def test_the_deepest_valley_decides():
+    """The topic changes at a sentence end inside a paragraph: the cut is there, not at the paragraph ends of either topic."""
+    a, b = "fish boat net harbour tide", "court judge law verdict trial"
+    one = "\n\n".join(" ".join(f"The {a} of day {k}." for _ in range(3)) for k in range(3))
+    two = "\n\n".join(" ".join(f"The {b} of year {k}." for _ in range(3)) for k in range(3))
+    text = f"{one} {two}"
+    (first, second) = S.split_points(text, len(one) + 60, 0)
+    assert text[: first[1]].strip() == one and second == (first[1], len(text))
+    # without any valley the kind of the boundary decides
+    flat = "a b. a b.\n\na b. a b. a b."
+    assert S.split_points(flat, 16, 0)[0] == (0, 11)
+
+
 def test_boundaries_are_natural():
     text = ("The cat sat on the mat. The cat likes the mat a lot. " * 12).strip() + "\n\n" + ("Ships sail over the wide sea. A ship needs wind at sea. " * 12).strip()
     points = S.split_points(text, 900, 50)
