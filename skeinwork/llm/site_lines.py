@@ -2,7 +2,8 @@
 
 Nodes are (host, normalised line) weighted by the number of documents of the host that carry the line; edges join
 lines that follow each other, weighted alike. Nodes and edges of high support are kept, and the connected
-components of what is left are the host's boilerplate blocks. Every occurrence of a kept line is deleted.
+components of what is left are the host's boilerplate blocks (a line without a kept edge is a block of its own). An occurrence of
+a block is a run of a text's lines that belong to it, blank lines aside; every occurrence is deleted.
 
 Counts are exact and over all rows: documents delivered more than once are counted once, each task sums its own rows
 before anything is shuffled, and lines travel as 64-bit hashes until they are known to be frequent. A host has at
@@ -95,24 +96,27 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
     return nodes
 
 
-def _shared_nodes(nodes: DataFrame):
-    """A broadcast set of the node hashes (which hold the host), or None if there are more than BROADCAST_NODES."""
-    if nodes.count() > BROADCAST_NODES:
+def _shared_nodes(blocks: DataFrame):
+    """The block of each node hash (which holds the host), broadcast, or None if there are more than BROADCAST_NODES."""
+    if blocks.count() > BROADCAST_NODES:
         return None
-    return nodes.sparkSession.sparkContext.broadcast(frozenset(r.node for r in nodes.select("node").toLocalIterator()))
+    return blocks.sparkSession.sparkContext.broadcast({r.node: r.block for r in blocks.select("node", "block").toLocalIterator()})
+
+
+def boilerplate_blocks(docs: DataFrame, host_col: str, doc_col: str, text_col: str, rec_col: str) -> DataFrame:
+    """``host, node, docs, block``: the kept lines (as hashes) and the component of the line graph each belongs to."""
+    nodes, edges = line_supports(docs, host_col, doc_col, text_col, rec_col)
+    graph = nodes.withColumn("after", F.col("node")).unionByName(edges.filter(F.col("node") != F.col("after")))
+    return cut_lineage(graph.groupBy("host").applyInPandas(_components, "host string, node long, docs long, block long"))
 
 
 def boilerplate_lines(docs: DataFrame, host_col: str, doc_col: str, text_col: str, rec_col: str) -> DataFrame:
-    """``host, line, docs, block``: each line repeated excessively within its host, and the block it belongs to.
+    """``host, line, docs, block``: the lines of every block of a host.
 
     A line counts once per document; blank lines, null texts and null hosts do not count. An empty table gives no rows.
     """
-    nodes, edges = line_supports(docs, host_col, doc_col, text_col, rec_col)
-    graph = nodes.withColumn("after", F.col("node")).unionByName(edges.filter(F.col("node") != F.col("after")))
-    blocks = graph.groupBy("host").applyInPandas(_components, "host string, node long, docs long, block long")
+    blocks = boilerplate_blocks(docs, host_col, doc_col, text_col, rec_col)
     own = docs.filter(F.col(text_col).isNotNull() & F.col(host_col).isNotNull()).select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-
-    blocks = cut_lineage(blocks)
     wanted = _shared_nodes(blocks)
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,37 +132,55 @@ def boilerplate_lines(docs: DataFrame, host_col: str, doc_col: str, text_col: st
 
 
 def remove_boilerplate(docs: DataFrame, host_col: str, doc_col: str, text_col: str, rec_col: str) -> DataFrame:
-    """docs with text_col freed of its host's boilerplate lines, and ``lines_removed``.
+    """docs with text_col freed of the occurrences of its host's blocks, and ``lines_removed, blocks_removed`` (occurrences).
 
     Lines left keep their text and order; null texts stay null, and rows with a null host keep their text (0 removed).
-    A lines_removed column of docs is replaced.
+    Columns of docs with the names of the result are replaced. With more than BROADCAST_NODES kept lines, rec_col must be unique.
     """
-    nodes, _ = line_supports(docs, host_col, doc_col, text_col, rec_col)
-    rows = docs.drop("lines_removed")
+    blocks = boilerplate_blocks(docs, host_col, doc_col, text_col, rec_col)
+    rows = docs.drop("lines_removed", "blocks_removed")
     names, at = rows.columns, rows.columns.index(text_col)
-    schema = T.StructType([*rows.schema.fields, T.StructField("lines_removed", T.IntegerType())])
-    shared = _shared_nodes(nodes)
-    if shared is None:  # too many for every task: the lines of a host travel with its rows
-        per_host = nodes.groupBy("host").agg(F.collect_set("node").alias("__nodes")).withColumnRenamed("host", "__host")
-        rows = rows.join(per_host, F.col(host_col) == F.col("__host"), "left").drop("__host")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lines_removed", T.IntegerType()), T.StructField("blocks_removed", T.IntegerType())])
+    shared = _shared_nodes(blocks)
+    if shared is None:  # too many for every task: the lines of all rows meet them by join, spread by line
+        rows = rows.join(_hits(docs, blocks, host_col, text_col, rec_col), F.col(rec_col) == F.col("__rec"), "left").drop("__rec")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, removed = [], []
+            texts, removed, runs = [], [], []
             hosts, found = b.column(host_col).to_pylist(), b.column(text_col).to_pylist()
-            carried = None if shared is not None else b.column("__nodes")
+            carried = None if shared is not None else b.column("__hits")
             for k, (h, t) in enumerate(zip(hosts, found)):
-                own = shared.value if carried is None else frozenset(carried[k].as_py() or ())
-                if t is None or h is None or not own:
-                    texts.append(t)
-                    removed.append(0)
-                    continue
-                lines = t.split("\n")
-                left = [x for x in lines if not ((y := normal_line(x)) and _hash(h, y) in own)]
-                texts.append("\n".join(left))
-                removed.append(len(lines) - len(left))
+                left, gone, last = [], [], None
+                hits = None if carried is None else {x["no"]: x["block"] for x in carried[k].as_py() or ()}
+                for no, x in enumerate(t.split("\n") if t is not None and h is not None else ()):
+                    y = normal_line(x)
+                    block = None if not y else shared.value.get(_hash(h, y)) if hits is None else hits.get(no)
+                    if block is None:
+                        left.append(x)
+                        last = None if y else last  # blank lines do not part an occurrence
+                    else:
+                        gone.append(block != last)
+                        last = block
+                texts.append("\n".join(left) if gone else t)
+                removed.append(len(gone))
+                runs.append(sum(gone))
             cols = [b.column(c) for c in names]
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int32())], names=[*names, "lines_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int32()), pa.array(runs, pa.int32())], names=[*names, "lines_removed", "blocks_removed"])
 
     return rows.mapInArrow(clean, schema)
+
+
+def _hits(docs: DataFrame, blocks: DataFrame, host_col: str, text_col: str, rec_col: str) -> DataFrame:
+    """``__rec, __hits``: per row the numbers of its lines that belong to a block, with the block."""
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(r, no, _hash(h, y)) for r, h, t in zip(pdf["rec"], pdf["host"], pdf["text"]) for no, x in enumerate(t.split("\n")) if (y := normal_line(x))]
+            yield pd.DataFrame(rows, columns=["__rec", "no", "node"])
+
+    own = docs.filter(F.col(text_col).isNotNull() & F.col(host_col).isNotNull()).select(F.col(rec_col).alias("rec"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    kind = docs.schema[rec_col].dataType.simpleString()
+    met = own.mapInPandas(hashes, f"__rec {kind}, no int, node long").join(blocks.select("node", "block"), "node")
+    return met.groupBy("__rec").agg(F.collect_list(F.struct("no", "block")).alias("__hits"))

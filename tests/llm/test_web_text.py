@@ -181,14 +181,27 @@ def test_boilerplate(spark):
 def test_removal(spark):
     rows = {r.rec_id: r for r in L.remove_boilerplate(site(spark), "host", "uid", "content", "rec_id").collect()}
     assert len(rows) == 67
-    assert rows[3].content == "Unique line number xxx\n" and rows[3].lines_removed == 3
+    assert rows[3].content == "Unique line number xxx\n" and rows[3].lines_removed == 3 and rows[3].blocks_removed == 1
     assert rows[101].content == "Only b\nshared" and rows[200].content == "shared" and rows[201].content is None and rows[202].content == ""
 
 
+def test_blocks_are_the_unit_of_removal(spark):
+    """Two blocks of a host, and a line that repeats without a neighbour; a run of a block's lines is one occurrence."""
+    text = "share me\nprint me\n\nbody {0}\nalone\nmore {0}\nlegal one\nlegal two"
+    rows = [(i, f"d{i}", "h", text.format("x" * (i + 1)), 0) for i in range(9)] + [(20, "z", "h", "legal two\nown text\nlegal one\nlegal two\nshare me", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    lines = {r.line: r.block for r in L.boilerplate_lines(df, "host", "uid", "content", "rec_id").collect()}
+    assert set(lines) == {"share me", "print me", "alone", "legal one", "legal two"} and len(set(lines.values())) == 3
+    assert lines["share me"] == lines["print me"] and lines["legal one"] == lines["legal two"]
+    out = {r.rec_id: (r.content, r.lines_removed, r.blocks_removed) for r in L.remove_boilerplate(df, "host", "uid", "content", "rec_id").collect()}
+    assert out[0] == ("\nbody x\nmore x", 5, 3) and out[20] == ("own text", 4, 3)
+
+
 def test_many_lines_take_the_join(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_NODES", 0)
     assert len(L.boilerplate_lines(site(spark), "host", "uid", "content", "rec_id").collect()) == 3
     test_removal(spark)
+    test_blocks_are_the_unit_of_removal(spark)
 
 
 def test_thresholds_count_documents(spark):
