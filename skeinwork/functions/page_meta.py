@@ -99,18 +99,37 @@ def flat_metadata(m: dict) -> dict[str, str]:
     return out | ({"keywords": ", ".join(m["keywords"])} if m["keywords"] else {})
 
 
+#: JSON-LD nested deeper than this is not read.
+DEPTH = 128
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def json_ld(root: Node) -> list:
     """The values of all JSON-LD scripts that can be read."""
     out = []
     for node in root.find_all("script"):
         if node.attrs.get("type", "").strip().lower() == "application/ld+json" and (text := node.text().strip()):
             try:
-                out.append(json.loads(text))
-            except ValueError:
+                out.append(_readable(json.loads(text)))
+            except (ValueError, RecursionError):  # deeper than a reader can follow counts as absent
                 continue
     return out
 
 
+def _readable(value: object) -> object:
+    """A value without halves of surrogate pairs, which no encoding takes; raises RecursionError beyond DEPTH levels."""
+    text = json.dumps(value, ensure_ascii=False)
+    if _SURROGATE.search(text):
+        value = json.loads(_SURROGATE.sub("\ufffd", text))
+    level, todo = 0, [value]
+    while todo:
+        level += 1
+        if level > DEPTH:
+            raise RecursionError
+        todo = [c for v in todo if isinstance(v, (dict, list)) for c in (v.values() if isinstance(v, dict) else v)]
+    return value
+
+
 def plain_type(name: str) -> str:
     return re.sub(r"https?://schema\.org/", "", name.strip())
 
@@ -196,7 +215,10 @@ def microdata(root: Node, only: frozenset[str] = frozenset()) -> list[tuple[str,
         if "itemscope" in node.attrs:
             kind = plain_type(node.attrs.get("itemtype", ""))
             if "itemtype" in node.attrs and (not only or kind in only):
-                out.append((kind, _properties(node)))
+                try:
+                    out.append((kind, _properties(node)))
+                except RecursionError:  # items within items beyond any reader's depth count as absent
+                    pass
             continue
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return out

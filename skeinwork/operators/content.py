@@ -143,13 +143,17 @@ def markdown_documents(pages: DataFrame, text_col: str) -> DataFrame:
     return pages.withColumn("title", title).withColumn("content", plain(F.col(text_col)))
 
 
+# fixed values: the two attributes of a description, in either order, with any others around them
+_NAME, _CONTENT = r"""name\s*=\s*["']description["']""", r"""content\s*=\s*["']([^"']*)["']"""
+
+
 def head_fields(html: Column | str) -> tuple[Column, Column]:
     """Title and description by patterns within the head (or the first 8,192 characters): no tree is built."""
     h = F.col(html) if isinstance(html, str) else html
     end = F.instr(F.lower(h), "</head>")
     head = F.when(end > 0, F.substr(h, F.lit(1), end - 1)).otherwise(F.substring(h, 1, 8192))
     title = F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    a = F.regexp_extract(head, r"""(?is)<meta\s+name=["']description["']\s+content=["']([^"']*)["']""", 1)
-    b = F.regexp_extract(head, r"""(?is)<meta\s+content=["']([^"']*)["']\s+name=["']description["']""", 1)
+    a = F.regexp_extract(head, f"(?is)<meta[^>]+{_NAME}[^>]+{_CONTENT}", 1)
+    b = F.regexp_extract(head, f"(?is)<meta[^>]+{_CONTENT}[^>]+{_NAME}", 1)
     clean = lambda c: F.nullif(F.trim(c), F.lit(""))
     return clean(title), F.coalesce(clean(a), clean(b))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skeinwork.functions.urls import dedup_key
 from skeinwork.session import cut_lineage
@@ -53,19 +52,25 @@ def content_changes(docs: DataFrame, history: DataFrame, url_col: str, text_col:
     return joined.withColumn("change", change).drop("__url", "__old", "__known")
 
 
-def latest_by(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Upsert: the last row of each key. order: descending columns that settle ties."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") == 1).drop("__rank")
+def latest_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Upsert: the last row of each key (null is a key) by the columns of order, nulls first; ties are settled by the whole row's order
+    of arrival, so order should be unique within a key.
+
+    The greatest row of each key is combined map-side, so a key with many rows costs one row per task.
+    """
+    names = rows.columns
+    last = rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("__r"))
+    return last.select(*[F.col(f"__r.{c}").alias(c) for c in names])
 
 
 def drop_repeats(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key by ``order`` (a unique column without nulls); null keys are one key.
+    """The first row of each key by ``order`` (a unique column without nulls); rows with a null in a key are nobody's repeats.
 
-    Only keys and order are shuffled to find the rows to leave out. These are written to the shared folder, so that their
-    size is known when the join is planned: few of them are broadcast by Spark and wide rows stay where they are; many are
-    joined by sorting.
+    Only keys and order are shuffled to find the rows to leave out, and the first of each key is combined map-side. The rows to
+    leave out are written to the shared folder while the query is built, so that their size is known when the join is planned: few
+    of them are broadcast by Spark and wide rows stay where they are; many are joined by sorting.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    repeats = rows.select(*keys, order).withColumn("__rank", F.row_number().over(w)).filter("__rank > 1").select(F.col(order).alias("__repeat"))
+    narrow = rows.select(*keys, order).dropna(subset=keys)
+    firsts = narrow.groupBy(*keys).agg(F.min(order).alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    repeats = narrow.join(firsts, keys).filter(F.col(order) > F.col("__first")).select(F.col(order).alias("__repeat"))
     return rows.join(cut_lineage(repeats), F.col(order) == F.col("__repeat"), "left_anti")

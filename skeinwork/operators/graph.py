@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from skeinwork.functions.urls import graph_key
 from skeinwork.session import cut_lineage
@@ -34,11 +35,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, checkpoint_every: int = 5) -> DataFrame:
     """``node, score`` after a fixed number of Jacobi steps from 1/n; dangling nodes do not hand on their score.
 
-    The edges are partitioned by source once and joined to the scores there; sums are combined before each
-    shuffle, so a page that everything links to does not hold up the round. An empty edge table gives no rows.
+    The edges are partitioned by source once and kept so on the executors' disks (a lost executor's part is computed again); each
+    round moves scores to them, never edges. Sums are combined before each shuffle, so a page that everything links to does not
+    hold up the round. Spark jobs run while the query is built. An empty edge table gives no rows.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    weighted = cut_lineage(edges.join(out, "src").repartition("src"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weighted = cut_lineage(edges.join(out, "src")).repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
     all_nodes = cut_lineage(nodes(edges))
     n = all_nodes.count()
     if n == 0:
@@ -107,16 +110,16 @@ def site_map(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, limit: int
     return reached
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` (the least node) of every node of undirected edges.
 
     Each round joins every node to the least label around it and then to its label's label, so that chains shrink by
-    half; a hub's neighbours are combined before the shuffle.
+    half; a hub's neighbours are combined before the shuffle. Rounds go on until no label changes. Spark jobs run while the query is built.
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     both = cut_lineage(e.union(e.select("y", "x")).distinct())
     labels = cut_lineage(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         around = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
         nearer = labels.join(around, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
@@ -125,4 +128,3 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         labels = new.select("node", "component")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,13 +26,43 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
 
 
+def build_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
+    """Write the index of docs: ``path/terms``, in ranges of the term so that a query reads few row groups, and ``path/stats``.
+
+    A term's rows are spread over several ranges when it is frequent.
+    """
+    index(docs, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).repartitionByRange("term", "salt").sortWithinPartitions("term").drop("salt").write.mode("overwrite").parquet(f"{path}/terms")
+    own = docs.filter(F.col(text_col).isNotNull()).select(F.size(terms(text_col)).alias("size"))
+    own.agg(F.count("*").alias("n"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """``id, score`` of every document with a term of the query, by the index at path: the filter on terms reaches the scan, texts
+    are not read. Scores are those of ``search``; a query without terms has no hits."""
+    wanted = list(dict.fromkeys(_words(query)))
+    if not wanted:
+        return spark.read.parquet(f"{path}/terms").select("id", F.lit(0.0).alias("score")).limit(0)
+    hits = spark.read.parquet(f"{path}/terms").filter(F.col("term").isin(wanted))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    stats = spark.read.parquet(f"{path}/stats").first()  # one row
+    weighed = hits.join(F.broadcast(df), "term")  # a row per word of the query
+    idf = F.log(1 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(stats.mean or 1.0)))
+    return weighed.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+
+
+def _words(query: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in query.lower()).split()
+
+
 def search(docs: DataFrame, id_col: str, text_col: str, query: str, limit: int | None = 20, offset: int = 0, where: Column | None = None, distinct: str | None = None) -> DataFrame:
     """``id, score`` of the documents with a term of the query, best first, ties by id; with ``distinct`` the best of each of its values.
 
     Only the query's terms are exploded: term counts are taken within each row, so what is shuffled is one row per hit, not per
-    word. Statistics are those of all documents, whatever ``where`` admits. limit None gives every hit.
+    word. Statistics are those of all documents, whatever ``where`` admits (a job counts them while the query is built). limit None
+    gives every hit. This reads all texts; ``build_index`` and ``search_index`` answer many queries over one table.
     """
-    wanted = list(dict.fromkeys(w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()))
+    wanted = list(dict.fromkeys(_words(query)))
     rows = docs.filter(F.col(text_col).isNotNull()).withColumn("__w", terms(text_col))
     counts = {t: _times(t) for t in wanted}
     rows = rows.select(*docs.columns, F.size("__w").alias("__size"), *[c.alias(f"__tf{k}") for k, c in enumerate(counts.values())]) if wanted else rows.withColumn("__size", F.size("__w"))

@@ -7,8 +7,10 @@ any pair is made, so copies cost nothing; a hot key is split by Spark's adaptive
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,31 +84,49 @@ def _members(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, members.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
 
 
-def first_kept(pairs: DataFrame, items: DataFrame, max_rounds: int = 200) -> DataFrame:
+#: The filter's rounds end in one task once so few links are undecided (counted in every round).
+REST_LINKS = 100_000
+
+
+def first_kept(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """The sequential filter over items in ascending order of their id: an item is dropped if an earlier kept item is its partner.
 
     ``id, duplicate_of`` (null for kept items, else the earliest kept partner). pairs: ``a, b`` with a before b; items: ``id``. Rounds:
-    an undecided item without undecided or kept earlier partners is kept, one with a kept earlier partner is dropped.
+    an undecided item without undecided or kept earlier partners is kept, one with a kept earlier partner is dropped. Each round is
+    written to the shared folder while the query is built; when at most REST_LINKS links are left, one task settles them in order.
     """
     later = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     involved = later.select(F.col("b").alias("id")).distinct()
     state = cut_lineage(items.select("id").join(involved, "id", "left_anti").select("id", F.lit(True).alias("kept")))
     open_ = cut_lineage(involved)
-    for _ in range(max_rounds):
-        if not open_.limit(1).count():
+    while open_.limit(1).count():
+        known = cut_lineage(later.join(open_, later["b"] == open_["id"], "left_semi").join(state.select(F.col("id").alias("a"), "kept"), "a", "left"))
+        if known.count() <= REST_LINKS:
+            state = cut_lineage(state.unionByName(_settled(known, items.schema["id"].dataType.simpleString())))
             break
-        known = later.join(open_, later["b"] == open_["id"], "left_semi").join(state.select(F.col("id").alias("a"), "kept"), "a", "left")
         verdict = known.groupBy("b").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("waits"))
         settled = verdict.filter(F.col("hit") | ~F.col("waits")).select(F.col("b").alias("id"), (~F.col("hit")).alias("kept"))
         state = cut_lineage(state.unionByName(settled))
         open_ = cut_lineage(open_.join(state, "id", "left_anti"))
-    else:
-        raise RuntimeError(f"the filter did not settle in {max_rounds} rounds")
     kept = state.filter("kept").select(F.col("id").alias("a"))
     first = later.join(kept, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("earliest"))
     return state.join(first, "id", "left").select("id", F.when(~F.col("kept"), F.col("earliest")).alias("duplicate_of"))
 
 
+def _settled(known: DataFrame, kind: str) -> DataFrame:
+    """``id, kept`` of the undecided items b among ``a, b, kept`` (of a; null while undecided), one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links = pd.concat(list(batches) or [pd.DataFrame({"a": [], "b": [], "kept": []})])
+        decided = {a: bool(k) for a, k in zip(links["a"], links["kept"]) if k is not None and k == k}
+        hit: dict = {}
+        for b, a in sorted(zip(links["b"], links["a"])):
+            hit[b] = hit.get(b, False) or decided.get(a, not hit.get(a, False))
+        yield pd.DataFrame({"id": list(hit), "kept": [not h for h in hit.values()]})
+
+    return known.select("a", "b", "kept").coalesce(1).mapInPandas(run, f"id {kind}, kept boolean")
+
+
 def simhash_filter(rows: DataFrame, id_col: str, hash_col: str, t: int = 3) -> DataFrame:
     """``id, duplicate_of, similarity`` of the sequential SimHash filter in order of id: the earliest kept row at most t bits away.
 

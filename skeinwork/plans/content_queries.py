@@ -9,9 +9,9 @@ from skeinwork.functions.selectors import FieldRule
 from skeinwork.functions.urls import document_uid, graph_key, is_non_page, is_skipped_link
 from skeinwork.operators import content as C
 from skeinwork.operators import graph as G
-from skeinwork.operators.search import search
+from skeinwork.operators.search import build_index, search, search_index
 from skeinwork.plans.url_queries import GRAPH_SQL
-from skeinwork.session import table
+from skeinwork.session import shared_path, table
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +79,19 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), "doc_id", "text", "crawler sitemap budget", limit=None)
 
 
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of search_documents through an index written to the shared folder."""
+    path = shared_path(spark)
+    build_index(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return search_index(spark, path, "crawler sitemap budget")
+
+
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "crawl_documents").select("rec_id", "content", "language", F.coalesce("parent_document_id", "uid").alias("parent"))
     return search(docs, "rec_id", "content", "broken sitemap, archive", 50, 0, F.col("language") == "en", "parent")
 
 
-QUERIES = {f.__name__: f for f in (page_documents, page_markdown, page_links, page_link_degrees, page_blocks, page_schema, page_fields, head_metadata, structured_types, stored_page_map, search_documents, search_pages)}
+QUERIES = {f.__name__: f for f in (page_documents, page_markdown, page_links, page_link_degrees, page_blocks, page_schema, page_fields, head_metadata, structured_types, stored_page_map, search_documents, indexed_search, search_pages)}
 
 _HEAD = "CASE WHEN strpos(lower(html), '</head>') > 0 THEN substr(html, 1, strpos(lower(html), '</head>') - 1) ELSE substr(html, 1, 8192) END"
 
@@ -100,10 +107,11 @@ r AS (SELECT *, {ident} AS id, round({' + '.join(parts)}, 6) AS score FROM c)"""
 
 SQL = {
     "head_metadata": rf"""SELECT page_id, nullif(trim(regexp_extract({_HEAD}, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
-coalesce(nullif(trim(regexp_extract({_HEAD}, '(?is)<meta\s+name=["'']description["'']\s+content=["'']([^"'']*)["'']', 1)), ''), nullif(trim(regexp_extract({_HEAD}, '(?is)<meta\s+content=["'']([^"'']*)["'']\s+name=["'']description["'']', 1)), '')) AS description FROM raw_pages""",
+coalesce(nullif(trim(regexp_extract({_HEAD}, '(?is)<meta[^>]+name\s*=\s*["'']description["''][^>]+content\s*=\s*["'']([^"'']*)["'']', 1)), ''), nullif(trim(regexp_extract({_HEAD}, '(?is)<meta[^>]+content\s*=\s*["'']([^"'']*)["''][^>]+name\s*=\s*["'']description["'']', 1)), '')) AS description FROM raw_pages""",
     "stored_page_map": f"SELECT {GRAPH_SQL} AS key, count(*) AS n, max(title) AS title FROM crawl_documents WHERE parent_document_id IS NULL GROUP BY 1",
     "structured_types": "SELECT json_extract_string(schema, '$.\"@type\"') AS type, count(*) AS n FROM crawl_documents GROUP BY 1",
     "search_documents": _bm25("documents", "doc_id", "text", ["crawler", "sitemap", "budget"]) + " SELECT id, score FROM r WHERE score > 0",
+    "indexed_search": _bm25("documents", "doc_id", "text", ["crawler", "sitemap", "budget"]) + " SELECT id, score FROM r WHERE score > 0",
     "search_pages": _bm25("crawl_documents", "rec_id", "content", ["broken", "sitemap", "archive"])
     + " SELECT id, score FROM (SELECT id, score, row_number() OVER (PARTITION BY coalesce(parent_document_id, uid) ORDER BY score DESC, id) AS k FROM r WHERE score > 0 AND language = 'en') WHERE k = 1 ORDER BY score DESC, id LIMIT 50",
 }

@@ -62,7 +62,7 @@ def upserted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawl records with the latest delivery of each page put in."""
     old = table(spark, sf_dir, "crawl_records").select("url", F.col("last_crawled_at").alias("seen_at"), F.col("last_status").alias("status"))
     new = table(spark, sf_dir, "raw_pages").select("url", F.col("fetched_at").alias("seen_at"), "status", "page_id")
-    return stores.upsert(old.withColumn("page_id", F.lit(None).cast("bigint")), new, "url", [F.desc("seen_at"), F.desc("page_id")])
+    return stores.upsert(old.withColumn("page_id", F.lit(None).cast("bigint")), new, "url", ["seen_at", "page_id"])
 
 
 def inserted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

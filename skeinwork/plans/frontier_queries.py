@@ -47,7 +47,7 @@ def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "crawl_documents").select("uid", "rec_id", "crawled_at", "title")
-    return D.latest_by(docs, "uid", [F.desc("crawled_at"), F.desc("rec_id")])
+    return D.latest_by(docs, "uid", ["crawled_at", "rec_id"])
 
 
 def frontier_top(spark: SparkSession, sf_dir: str) -> DataFrame:

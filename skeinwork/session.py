@@ -49,16 +49,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     (A checkpoint would compute df a second time to write it.) The tables are removed when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/skeinwork-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver ends."""
+    path = f"{shared_folder(spark)}/skeinwork-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 @atexit.register
 def remove_written() -> None:
-    """Delete the tables written by cut_lineage; what they hold must not be needed any more."""
+    """Delete what was written to shared paths; it must not be needed any more."""
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:

@@ -82,7 +82,7 @@ def allowed_urls(urls: DataFrame, robots: DataFrame, agent: str, url_col: str =
     def judge(body: pd.Series, path: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"allowed": [is_allowed(b, agent, p) for b, p in zip(body, path)], "crawl_delay_ms": pd.array([crawl_delay_ms(b, agent) for b in body], dtype="Int64")})
 
-    path = F.regexp_extract(F.col(url_col), r"^[a-z][a-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(F.col(url_col), r"^(?i:[a-z][a-z0-9+.\-]*:)?//[^/?#]*([^?#]*)", 1)
     j = urls.join(robots.select(F.col("host").alias("__host"), F.col("body").alias("__body")), F.col(host_col) == F.col("__host"), "left")
     j = j.withColumn("__j", judge.asNondeterministic()(F.coalesce("__body", F.lit("")), F.coalesce(path, F.lit("/"))))
     return j.select(*[c for c in urls.columns if c not in ("allowed", "crawl_delay_ms")], "__j.allowed", "__j.crawl_delay_ms")

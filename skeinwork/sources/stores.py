@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.operators.dedup import latest_by
@@ -31,7 +31,10 @@ def expire(facts: DataFrame, as_of: str, days: int, at: str = "timestamp") -> Da
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Write beside the table, then swap by renaming; readers see the old rows or the new ones, and a failed write changes nothing."""
+    """Write beside the table, then swap by two renames; a failed write changes nothing.
+
+    Between the renames readers find no table, and on an object store a rename copies: use it where the file system renames at once.
+    """
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
     fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
@@ -46,10 +49,10 @@ def replace_table(rows: DataFrame, path: str) -> None:
     fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
 
 
-def upsert(table: DataFrame | None, rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The table with rows put in by key: of equal keys the first in order (descending columns) stays. Null keys are one key."""
+def upsert(table: DataFrame | None, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The table with rows put in by key: of equal keys a new row stays, of these the greatest by order. Null keys are one key."""
     both = rows.withColumn("__new", F.lit(1)) if table is None else table.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    return latest_by(both, key, [F.desc("__new"), *order]).drop("__new")
+    return latest_by(both, key, ["__new", *order]).drop("__new")
 
 
 def insert_missing(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -68,3 +68,23 @@ def test_site_map(spark):
     assert {(r.node, r.depth) for r in G.site_map(e, seeds).collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
     assert {r.node for r in G.site_map(e, seeds, limit=2).collect()} == {"a", "b"}
     assert {r.node for r in G.site_map(e, seeds, max_depth=1).collect()} == {"a", "b", "c"}
+
+
+def test_pagerank_moves_no_edges(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{(k * 7 + j) % 50}") for k in range(50) for j in range(3)], "src string, dst string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = G.pagerank(edges, iterations=3, checkpoint_every=100)
+        scores.collect()
+        plan = scores._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "InMemoryTableScan" in plan and "Exchange hashpartitioning(src" not in plan.split("InMemoryRelation")[0]
+        lines = [x for x in plan.split("\n") if "Exchange" in x and "hashpartitioning(src" in x and "REPARTITION_BY_NUM" not in x]
+        assert not lines, lines
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert abs(sum(r.score for r in scores.collect()) - 1) < 1e-9
+
+
+def test_long_chain_is_one_component(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(3000)], "a long, b long")
+    assert {r.component for r in G.connected_components(chain, "a", "b").select("component").distinct().collect()} == {0}

@@ -1,10 +1,14 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skeinwork.functions import page_meta as M
 from skeinwork.functions import readable as R
 from skeinwork.functions.dom import parse
 from skeinwork.functions.selectors import FieldRule, extract_field, extract_fields, select, transform
+from skeinwork.operators import content as C
+from skeinwork.operators import search as I
 
 
 def tags(root):
@@ -105,3 +109,55 @@ def test_content_and_markdown():
 def test_links():
     root = parse('<a href="b?x=1">B</a><a href="mailto:x">m</a><a href="//o.com/">o</a><a href="http://[bad">z</a><a>none</a>')
     assert M.links(root, "https://e.com/a/") == [("https://e.com/a/b?x=1", "B"), ("https://o.com/", "o")]
+
+
+def test_no_page_stops_a_job(spark):
+    """Half surrogates, endless nesting, broken markup and odd bytes: the job ends, and what cannot be read is absent."""
+    ld = '<script type="application/ld+json">{}</script>'
+    pages = {
+        1: ld.format('{"@type": "A", "name": "x\\ud800y", "\\udfff": 1}'),
+        2: ld.format("[" * 200_000),
+        3: ld.format("[" * 150 + "]" * 150),
+        4: ld.format('{"@type": "B", "a": ' + '{"b": ' * 60 + "1" + "}" * 60 + "}"),
+        5: "<div itemscope itemtype=https://schema.org/T>" + "<div itemprop=p itemscope>" * 3000,
+        6: "<html><head><title>unclosed",
+        7: "\x00\x01<p>\ufffd</p>" + "<b>" * 500,
+        8: "",
+        9: None,
+        10: "<table><tr><td>" * 300,
+        11: "&#xD800;&#x110000;&bogus;<p>&amp",
+        12: "<p>" + "x" * 300_000,
+    }
+    df = spark.createDataFrame(list(pages.items()), "page_id int, html string").withColumn("url", F.lit("http://h.test/p"))
+    got = {r.page_id: r for r in C.extract(df, sorted(C.FEATURES)).collect()}
+    assert set(got) == set(pages) and got[9].title is None and got[6].title is not None
+    assert "A" in got[1].schema_items and "\ufffd" in got[1].json_ld and "B" in got[4].schema_items
+    assert all(not got[k].json_ld or got[k].json_ld in ("null", "[]") for k in (2, 3))
+
+
+@pytest.mark.parametrize(
+    ("head", "want"),
+    [
+        ('<meta name="description" lang="en" content=" D ">', "D"),
+        ("<META data-x='1' CONTENT = 'D' id=q NAME='description'>", "D"),
+        ('<meta name = "description" content="">', None),
+        ('<meta name="descriptions" content="D">', None),
+        ('<meta property="og:x"><meta content="D" name="description">', "D"),
+    ],
+)
+def test_head_fields(spark, head, want):
+    title, description = C.head_fields("h")
+    row = spark.createDataFrame([(f"<head><title lang=x> T </title>{head}</head><meta name=description content=E>",)], "h string").select(title.alias("t"), description.alias("d")).first()
+    assert (row.t, row.d) == ("T", want)
+
+
+def test_index_finds_what_the_scan_finds(spark, tmp_path):
+    df = spark.createDataFrame([(1, "red fish, blue fish"), (2, "one red"), (3, None), (4, ""), (5, "nothing here")], "id long, t string")
+    I.build_index(df, "id", "t", str(tmp_path / "i"))
+    for query in ("red fish", "fish", "absent", "RED, one", "  "):
+        scan = {(r.id, r.score) for r in I.search(df, "id", "t", query, limit=None).collect()}
+        assert {(r.id, r.score) for r in I.search_index(spark, str(tmp_path / "i"), query).collect()} == scan, query
+    plan = I.search_index(spark, str(tmp_path / "i"), "red")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [red])" in plan or "EqualTo(term,red)" in plan
+    I.build_index(df.limit(0), "id", "t", str(tmp_path / "e"))
+    assert I.search_index(spark, str(tmp_path / "e"), "red").collect() == []

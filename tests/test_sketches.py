@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -157,3 +158,13 @@ def test_similarities_of_simhash(spark):
         assert all(abs(r.avg_similarity - sum(each) / len(each)) < 1e-12 for r in got if r.cluster == cluster) and {r.id for r in got if r.cluster == cluster} == set(ids)
     filtered = {r.id: (r.duplicate_of, r.similarity) for r in S.simhash_filter(df, "id", "h", 1).collect()}
     assert filtered == {1: (None, None), 2: (1, 63 / 64), 3: (None, None), 4: (1, 1.0), 9: (None, None), 10: (None, None), 11: (10, 63 / 64), 12: (10, 1.0)}
+
+
+@pytest.mark.parametrize("rest", [0, 100_000])
+def test_chain_beyond_any_number_of_rounds(spark, monkeypatch, rest):
+    """Every item is the partner of the one before: every second is kept, in rounds as in one task."""
+    monkeypatch.setattr(S, "REST_LINKS", rest)
+    n = 12 if rest == 0 else 1000
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
+    got = {r.id: r.duplicate_of for r in S.first_kept(pairs, spark.range(n + 1)).collect()}
+    assert got == {k: None if k % 2 == 0 else k - 1 for k in range(n + 1)}

@@ -102,7 +102,7 @@ def test_facts_and_swap(spark, tmp_path):
 def test_keyed_tables(spark):
     t = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, n int, v string")
     new = spark.createDataFrame([("b", 5, "z"), ("c", 1, "w"), ("c", 2, "q")], "k string, n int, v string")
-    assert {(r.k, r.n, r.v) for r in stores.upsert(t, new, "k", [F.desc("n")]).collect()} == {("a", 1, "x"), ("b", 5, "z"), ("c", 2, "q")}
+    assert {(r.k, r.n, r.v) for r in stores.upsert(t, new, "k", ["n"]).collect()} == {("a", 1, "x"), ("b", 5, "z"), ("c", 2, "q")}
     assert {r.k for r in stores.insert_missing(t, new, "k").collect()} == {"a", "b", "c"}
     change = spark.createDataFrame([("a", None, "new")], "k string, n int, v string")
     assert {(r.k, r.n, r.v) for r in stores.update_where(t, change, "k").collect()} == {("a", 1, "new"), ("b", 1, "y")}
@@ -120,10 +120,10 @@ def test_robots(agent, path, want):
 
 def test_robots_join(spark):
     assert R.is_allowed(None, "x", "/") and R.crawl_delay_ms(ROBOTS, "z") == 1500 and R.crawl_delay_ms("User-agent: *\nCrawl-delay: -1", "z") is None
-    urls = spark.createDataFrame([("https://e.com/a", "e.com"), ("https://f.com/a", "f.com"), (None, None)], "url string, host string")
+    urls = spark.createDataFrame([("https://e.com/a", "e.com"), ("HTTPS://e.com/a?x", "e.com"), ("//e.com/a", "e.com"), ("https://f.com/a", "f.com"), (None, None)], "url string, host string")
     robots = spark.createDataFrame([("e.com", ROBOTS)], "host string, body string")
     got = {r.url: (r.allowed, r.crawl_delay_ms) for r in R.allowed_urls(urls, robots, "other").collect()}
-    assert got == {"https://e.com/a": (False, 1500), "https://f.com/a": (True, None), None: (True, None)}
+    assert got == {"https://e.com/a": (False, 1500), "HTTPS://e.com/a?x": (False, 1500), "//e.com/a": (False, 1500), "https://f.com/a": (True, None), None: (True, None)}
     maps = spark.range(1).select(R.named_sitemaps(F.lit(ROBOTS), F.lit("e.com")).alias("a"), R.named_sitemaps(F.lit(None).cast("string"), F.lit("e.com")).alias("b")).first()
     assert maps.a == ["https://e.com/s.xml"] and maps.b == ["https://e.com/sitemap.xml"]
 
