@@ -2,7 +2,7 @@
 
 Texts are cut into windows of WINDOW bytes. A byte has a learned vector; filters of several widths slide over the window,
 each filter's greatest response over the window is kept, and a softmax layer turns the responses into a probability
-per language. The network is trained on the driver on a bounded sample of labelled rows (TRAIN_ROWS per language), with
+per language. The network is trained on the driver on a bounded sample of labelled rows (TRAIN_ROWS per language, TRAIN_TOTAL in all), with
 labels the network itself contradicts taken out between two rounds, and broadcast (about 100 KB). Training and inference
 are batched matrix products; texts are never walked row by row.
 
@@ -18,14 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 96
 WIDTHS = (3, 5)
 FILTERS, EMBEDDING = 32, 8
-#: Bound on the labelled rows used per language, and on the bytes used of each.
-TRAIN_ROWS, TRAIN_BYTES = 400, 1536
+#: Bound on the labelled rows used per language, and on the characters used of each (in TRAIN_PARTS pieces from all over the text).
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_PARTS = 400, 1536, 4
+#: Bound on the labelled rows used in all, shared alike by the languages, so what the driver holds does not grow with their number.
+TRAIN_TOTAL = 8000
+#: Texts of so many characters are preferred for training; shorter ones fill up what a language lacks.
+PREFERRED = 300
 SWITCH_COST = 6.0
 #: Windows per training step, and the least number of steps (small samples are gone through more often).
 BATCH, LEAST_STEPS = 128, 1000
@@ -150,7 +154,7 @@ def _fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
 
 def train(texts: list[str], labels: list[str], languages: list[str], epochs: int = 5, seed: int = 7) -> Model:
     """A model of labelled texts, some of whose labels may be wrong: a first model's contradictions are left out of the second."""
-    windows, owner = windows_of([t[:TRAIN_BYTES] for t in texts])
+    windows, owner = windows_of(texts)
     index = {c: k for k, c in enumerate(languages)}
     y = np.array([index[c] for c in labels], dtype=np.int64)[owner]
     first = _fit(windows, y, languages, max(2, -(-LEAST_STEPS * BATCH // 2 // max(1, len(windows)))), seed)
@@ -163,37 +167,45 @@ def train(texts: list[str], labels: list[str], languages: list[str], epochs: int
     return _fit(windows[kept], y[kept], languages, max(epochs, -(-LEAST_STEPS * BATCH // max(1, int(kept.sum())))), seed + 1)
 
 
-def clean_label(label: str | None, known: set[str]) -> str | None:
-    """The code of a label without letter case and region; None if it is no known code."""
-    if not label:
-        return None
-    code = label.strip().lower().replace("_", "-").split("-")[0]
-    return code if code in known else None
+def label_code(label) -> Column:
+    """The code of a label, without letter case and region."""
+    return F.regexp_extract(F.lower(F.trim(label)), "^([a-z]+)(?:[-_].*)?$", 1)
 
 
-def train_on(df: DataFrame, text_col: str, label_col: str, languages: list[str]) -> Model | None:
-    """Train on at most TRAIN_ROWS rows per language of those with a known label, chosen by a hash of their text.
+def training_rows(df: DataFrame, text_col: str, label_col: str, languages: list[str]) -> list:
+    """``code, text`` of at most TRAIN_ROWS different labelled texts per language (TRAIN_TOTAL in all), chosen by a hash of the text."""
+    known = sorted({x.lower() for x in languages})
+    most = max(1, min(TRAIN_ROWS, TRAIN_TOTAL // max(1, len(known))))
+    size, step = TRAIN_CHARS // TRAIN_PARTS, (F.length("t") - F.lit(TRAIN_CHARS // TRAIN_PARTS)) / (TRAIN_PARTS - 1)
+    pieces = F.concat_ws("\n", *[F.substring("t", F.floor(step * k).cast("int") + 1, F.lit(size)) for k in range(TRAIN_PARTS)])
+    own = df.filter(F.length(text_col) > 0).select(F.col(text_col).alias("t"), label_code(F.col(label_col)).alias("code")).filter(F.col("code").isin(known))
+    own = own.select("t", "code", F.xxhash64("t").alias("h"), (F.length("t") >= PREFERRED).alias("long"))
+    counts: dict[tuple[str, bool], int] = {(r.code, r.long): r.n for r in own.groupBy("code", "long").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not counts:
+        return []
+    # hash thresholds keep about as many texts as wanted without sorting; the limit makes the bound sure
+    wanted = {}
+    for code in {c for c, _ in counts}:
+        rest = most
+        for preferred in (True, False):
+            n = counts.get((code, preferred), 0)
+            if n:
+                wanted[code, preferred] = min(1.0, (1.3 * rest + 20) / n) if rest else 0.0
+            rest = max(0, rest - n)
+    share = F.coalesce(*[F.when((F.col("code") == c) & (F.col("long") == x), F.lit(s)) for (c, x), s in wanted.items()])
+    place = F.pmod("h", F.lit(1_000_003))
+    picked = own.filter(place < share * 1_000_003).select("code", "h", "long", F.when(F.length("t") <= TRAIN_CHARS, F.col("t")).otherwise(pieces).alias("text"))
+    picked = picked.groupBy("code", "h").agg(F.first("long").alias("long"), F.first("text").alias("text"))  # copies of a text are one
+    first = Window.partitionBy("code").orderBy(F.desc("long"), "h")  # of the few picked
+    return picked.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most).select("code", "text").collect()
 
-    None without any labelled text of at least 300 characters.
-    """
-    known = sorted(languages)
-    code = F.lower(F.regexp_extract(F.trim(label_col), "^[A-Za-z]{2}(?![A-Za-z])", 0))
-    own = df.filter(F.length(text_col) >= 300).select(F.substring(text_col, 1, TRAIN_BYTES).alias("text"), code.alias("code")).filter(F.col("code").isin(known))
-    sums = {r.code: r.n for r in own.groupBy("code").agg(F.count("*").alias("n")).collect()}
-    if not sums:
+
+def train_on(df: DataFrame, text_col: str, label_col: str, languages: list[str]) -> Model | None:
+    """Train on ``training_rows``. None without any labelled text; a language without any is not known to the model."""
+    rows = sorted(training_rows(df, text_col, label_col, languages))
+    if not rows:
         return None
-    # a hash threshold per language keeps about TRAIN_ROWS rows without sorting; the limit makes the bound sure
-    share = F.coalesce(*[F.when(F.col("code") == c, F.lit(min(1.0, 1.3 * TRAIN_ROWS / n))) for c, n in sums.items()])
-    picked = own.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1_000_003))).filter(F.col("h") < share * F.lit(1_000_003))
-    rows = picked.orderBy("h", "text").limit(2 * TRAIN_ROWS * len(known)).collect()
-    taken: dict[str, int] = {}
-    texts, labels = [], []
-    for r in rows:
-        if taken.get(r.code, 0) < TRAIN_ROWS:
-            taken[r.code] = taken.get(r.code, 0) + 1
-            texts.append(r.text)
-            labels.append(r.code)
-    return train(texts, labels, [c for c in known if c in taken])
+    return train([r.text for r in rows], [r.code for r in rows], sorted({r.code for r in rows}))
 
 
 def line_scores(model: Model, lines: list[str]) -> np.ndarray:

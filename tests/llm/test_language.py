@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skeinwork.llm import language as G
 
@@ -79,5 +80,26 @@ def test_train_on(spark):
     assert G.train_on(spark.createDataFrame([], "t string, l string"), "t", "l", ["aa"]) is None
 
 
-def test_labels():
-    assert [G.clean_label(x, {"en", "de"}) for x in ("EN", "de-DE", "en_GB", "xx", "", None, " en ")] == ["en", "de", "en", None, None, None, "en"]
+def test_labels(spark):
+    labels = ["EN", "de-DE", "en_GB", "x1", "", None, " en ", "deu-Latn"]
+    got = [r.c for r in spark.createDataFrame([(x,) for x in labels], "l string").select(G.label_code(F.col("l")).alias("c")).collect()]
+    assert got == ["en", "de", "en", "", "", None, "en", "deu"]
+
+
+def test_training_rows(spark, monkeypatch):
+    """Three-letter codes, languages with short texts only, copies of one text, text from all over a row, and the bound in all."""
+    rng = random.Random(7)
+    long_text = "\n".join(f"{k} {sentence(rng, 'bb', 40)}" for k in range(60))
+    rows = [(sentence(rng, "aa", 60), "AAA") for _ in range(30)] + [(sentence(rng, "bb", 60), "bb")] * 5000 + [(long_text, "bb")] + [(sentence(rng, "cc", 6), "cc-X") for _ in range(30)]
+    df = spark.createDataFrame(rows, "t string, l string").repartition(4)
+    monkeypatch.setattr(G, "TRAIN_TOTAL", 60)
+    got = [(r.code, r.text) for r in G.training_rows(df, "t", "l", ["aaa", "bb", "cc", "dd"])]
+    counts = {c: sum(x == c for x, _ in got) for c in ("aaa", "bb", "cc")}
+    assert counts == {"aaa": 15, "bb": 2, "cc": 15} and len(set(got)) == len(got)
+    (spread,) = [t for c, t in got if c == "bb" and t.startswith("0 ")]
+    assert len(spread) <= G.TRAIN_CHARS + G.TRAIN_PARTS and long_text[-50:] in spread
+    monkeypatch.setattr(G, "TRAIN_TOTAL", 8000)
+    m = G.train_on(df, "t", "l", ["aaa", "bb", "cc", "dd"])
+    assert m.languages == ["aaa", "bb", "cc"]
+    scores = G.line_scores(m, [sentence(rng, "cc", 12), sentence(rng, "aa", 12)])
+    assert [m.languages[k] for k in scores.argmax(axis=1)] == ["cc", "aaa"]
