@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwork.session import cut_lineage
+
 _TOP = 0x110000
 # fixed values: invisible characters besides the control characters (category Cc) and formats listed here
 INVISIBLE = [(0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0xE0000, 0xE0FFF)]
@@ -78,12 +80,14 @@ def _tables() -> dict[str, np.ndarray]:
         d = unicodedata.decomposition(chr(cp))
         if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", chr(cp)) == chr(cp):
             a, b = (int(x, 16) for x in d.split())
-            a = ord(LOOKALIKES.get(chr(a), chr(a)))
-            if unicodedata.combining(chr(b)):
-                # of characters that now look alike, the first by code point stands for all
-                pairs.setdefault((a << 21) | b, cp)
+            key = (ord(LOOKALIKES.get(chr(a), chr(a))) << 21) | b
+            # of characters that now look alike, the one of the Latin letter stands for all, else the first by code point
+            if chr(a) not in LOOKALIKES or key not in pairs:
+                pairs[key] = cp
     keys = np.array(sorted(pairs), dtype=np.int64)
-    return {"size": size, "start": start, "pool": np.concatenate(pool), "ccc": ccc, "pair": keys, "composed": np.array([pairs[k] for k in keys.tolist()], dtype=np.uint32)}
+    later = np.zeros(_TOP, dtype=bool)  # starters that compose with the one before
+    later[[k & 0x1FFFFF for k in keys.tolist() if not ccc[k & 0x1FFFFF]]] = True
+    return {"later": later, "size": size, "start": start, "pool": np.concatenate(pool), "ccc": ccc, "pair": keys, "composed": np.array([pairs[k] for k in keys.tolist()], dtype=np.uint32)}
 
 
 def _compose(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +120,24 @@ def _compose(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cp[~gone], row[~gone]
 
 
+def _join_starters(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Compose starters with the starter right behind them (vowel signs of several Indic scripts), as long as any do."""
+    t = _tables()
+    while len(cp) > 1 and t["later"][cp].any():
+        key = (cp[:-1].astype(np.int64) << 21) | cp[1:]
+        i = np.minimum(np.searchsorted(t["pair"], key), len(t["pair"]) - 1)
+        at = np.flatnonzero((t["pair"][i] == key) & t["later"][cp[1:]] & (row[1:] == row[:-1]))
+        at = at[np.append(True, np.diff(at) > 1)] if len(at) else at  # of a chain the front first
+        if not len(at):
+            break
+        cp = cp.copy()
+        cp[at] = t["composed"][i[at]]
+        keep = np.ones(len(cp), dtype=bool)
+        keep[at + 1] = False
+        cp, row = cp[keep], row[keep]
+    return cp, row
+
+
 def _hangul(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join conjoining jamo to syllables (the arithmetic of the Unicode standard)."""
     if not ((cp >= 0x1100) & (cp < 0x1200)).any():
@@ -167,8 +189,8 @@ def canonical_array(texts: pa.Array) -> pa.Array:
         cp = t["pool"][np.repeat(t["start"][cp], size) + within]
         row = np.repeat(row, size)
     if len(cp):
-        cp, row = _compose(cp, row)
-        cp, row = _hangul(cp, row)
+        cp, row = _compose(*_join_starters(cp, row))
+        cp, row = _hangul(*_join_starters(cp, row))
     counts = np.bincount(row, minlength=n)
     out = cp.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
     width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
@@ -197,13 +219,14 @@ def canonical_text(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs ``id_a < id_b`` of rows whose texts differ but have the same canonical form with a visible character.
 
-    Rows are grouped by digests of 16 bytes; a group is expanded into pairs only if it holds different texts, so a
-    group of exact copies of any size yields nothing and costs one row.
+    Forms are computed once; digests of 16 bytes are written to the shared folder while the query is built. Within a form the
+    different texts are paired first and their rows then put in, so exact copies are never paired with each other. Null texts
+    and texts without a visible character have no partners; an empty table gives no pairs.
     """
     forms = canonical_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "form")
-    rows = forms.filter(F.col("form").rlike(r"[^\s]")).select("id", F.unhex(F.md5("text")).alias("raw"), F.unhex(F.md5("form")).alias("form"))
+    rows = cut_lineage(forms.filter(F.col("form").rlike(r"[^\s]")).select("id", F.unhex(F.md5("text")).alias("raw"), F.unhex(F.md5("form")).alias("form")))
     several = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter(F.col("lo") != F.col("hi")).select("form")
-    held = rows.join(several, "form", "left_semi")
-    a = held.select("form", F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
-    b = held.select("form", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, "form").filter((F.col("id_a") < F.col("id_b")) & (F.col("raw_a") != F.col("raw_b"))).select("id_a", "id_b")
+    kinds = rows.join(several, "form", "left_semi").select("form", "raw").distinct()
+    unlike = kinds.select("form", F.col("raw").alias("raw_a")).join(kinds.select("form", F.col("raw").alias("raw_b")), "form").filter(F.col("raw_a") < F.col("raw_b"))
+    pairs = unlike.join(rows.select(F.col("raw").alias("raw_a"), F.col("id").alias("x")), "raw_a").join(rows.select(F.col("raw").alias("raw_b"), F.col("id").alias("y")), "raw_b")
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
