@@ -6,7 +6,8 @@ tokenizer releases the interpreter lock) and joined pairwise. Two properties mak
 * The splitting pattern is matched from left to right without look-behind, so once a scan of the joined text
   arrives at a position where the right half also has a piece boundary, both agree to the end. A boundary in the left
   half stands if at least MARGIN characters and a whole piece follow it, for the pattern looks at most that far ahead.
-  The window around a join is re-encoded and doubled until such boundaries are found on both sides.
+  The window around a join is re-encoded and doubled until such boundaries are found on both sides; the ids of the halves
+  outside it stay as they are.
 * Within one unsplit piece, a token sequence is the encoding of its bytes if and only if every two neighbouring
   tokens are the encoding of their concatenation. Halves of a piece are joined by re-encoding a window of
   tokens around the join, doubled until its first token is the left half's and its last token the right half's.
@@ -30,12 +31,14 @@ from pyspark.sql import types as T
 TOKENIZERS_DIR = os.environ.get("SKEINWORK_TOKENIZERS", "/opt/tokenizers")
 # fixed value: the pattern that splits text before the merges of the byte-level vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF = 8192
+LEAF = 512
 PIECE_LEAF = 512
 MARGIN = 3
 WINDOW = 64
 
 _SPLIT = regex.compile(PATTERN)
+#: No piece goes on with a space after a character that is none, so between these there is always a boundary.
+_SURE = regex.compile(r"\S(?=\s)")
 
 
 @functools.lru_cache(maxsize=4)
@@ -64,45 +67,58 @@ def encode_piece(enc: tiktoken.Encoding, piece: bytes, leaf: int = PIECE_LEAF) -
 
 
 class _Encoded:
-    """Pieces of a stretch of text: the end of each (in characters) and the ids of each."""
+    """A stretch of text and its ids."""
 
-    __slots__ = ("text", "ends", "ids")
+    __slots__ = ("text", "ids")
 
-    def __init__(self, text: str, ends: list[int], ids: list[list[int]]):
-        self.text, self.ends, self.ids = text, ends, ids
+    def __init__(self, text: str, ids: list[int]):
+        self.text, self.ids = text, ids
 
 
 def _leaf(enc: tiktoken.Encoding, text: str) -> _Encoded:
-    ends, ids, known = [], [], {}
-    for m in _SPLIT.finditer(text):
-        piece = m.group()
-        got = known.get(piece)
-        if got is None:
-            got = known[piece] = encode_piece(enc, piece.encode("utf-8", "replace"))
+    return _Encoded(text, enc.encode_ordinary(text))
+
+
+def _pieces(enc: tiktoken.Encoding, text: str, begin: int, stop: int) -> tuple[list[int], list[list[int]]]:
+    """Where each unsplit piece of text[begin:stop] ends, and its ids."""
+    ends, ids = [], []
+    for m in _SPLIT.finditer(text, begin, stop):
         ends.append(m.end())
-        ids.append(got)
-    return _Encoded(text, ends, ids)
+        ids.append(encode_piece(enc, m.group().encode("utf-8", "replace")))
+    return ends, ids
+
+
+def _last_piece(enc: tiktoken.Encoding, a: _Encoded) -> tuple[int, int]:
+    """(character, id) offset of a boundary of a that stands whatever follows: a whole piece and MARGIN characters lie behind it."""
+    n, w = len(a.text), WINDOW
+    while w < n:
+        sure = _SURE.search(a.text, n - w, n)
+        if sure:
+            ends, ids = _pieces(enc, a.text, sure.end(), n)
+            for k in range(len(ends) - 2, -2, -1):
+                at = ends[k] if k >= 0 else sure.end()
+                if n - at >= MARGIN and k + 1 < len(ends) - 1:
+                    return at, len(a.ids) - sum(map(len, ids[k + 1 :]))
+        w *= 2
+    return 0, 0
 
 
 def _join(enc: tiktoken.Encoding, a: _Encoded, b: _Encoded) -> _Encoded:
-    n = len(a.text)
-    text = a.text + b.text
-    i = len(a.ends) - 1  # the window begins behind piece i - 1 of a: a whole piece and MARGIN characters follow
-    while i > 0 and n - a.ends[i - 1] < MARGIN:
-        i -= 1
-    begin = a.ends[i - 1] if i > 0 else 0
-    right = {end: k + 1 for k, end in enumerate(b.ends)}
+    n, text = len(a.text), a.text + b.text
+    begin, kept = _last_piece(enc, a)
     w = WINDOW
     while True:
         stop = min(len(text), n + w)
-        mine = _leaf(enc, text[begin:stop])
-        for k, end in enumerate(mine.ends):
-            at = begin + end
-            whole = stop == len(text) or (k + 1 < len(mine.ends) and stop - at >= MARGIN)
-            if at >= n and whole and (at == n or at - n in right):
-                j = 0 if at == n else right[at - n]
-                ends = a.ends[:i] + [begin + e for e in mine.ends[: k + 1]] + [n + e for e in b.ends[j:]]
-                return _Encoded(text, ends, a.ids[:i] + mine.ids[: k + 1] + b.ids[j:])
+        mine, mine_ids = _pieces(enc, text, begin, stop)
+        right, right_ids = _pieces(enc, b.text, 0, stop - n)
+        sums = {0: 0}
+        for k, end in enumerate(right):
+            if stop == len(text) or (k + 1 < len(right) - 1 and stop - n - end >= MARGIN):
+                sums[end] = sum(map(len, right_ids[: k + 1]))
+        for k, end in enumerate(mine):
+            whole = stop == len(text) or (k + 1 < len(mine) - 1 and stop - end >= MARGIN)
+            if end >= n and whole and end - n in sums:
+                return _Encoded(text, a.ids[:kept] + [x for ids in mine_ids[: k + 1] for x in ids] + b.ids[sums[end - n] :])
         w *= 2
 
 
@@ -118,7 +134,7 @@ def encode_text(enc: tiktoken.Encoding, text: str | None, leaf: int = LEAF, pool
     parts = list((pool.map if pool else map)(functools.partial(_leaf, enc), cuts))
     while len(parts) > 1:
         parts = [_join(enc, parts[k], parts[k + 1]) for k in range(0, len(parts), 2)]
-    return [x for piece in parts[0].ids for x in piece]
+    return parts[0].ids
 
 
 def encode_corpus(df: DataFrame, text_col: str, out_col: str = "ids", name: str = "byte_bpe_50k", folder: str = TOKENIZERS_DIR) -> DataFrame:
