@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 TOKENIZERS_DIR = os.environ.get("SKEINWORK_TOKENIZERS", "/opt/tokenizers")
 # fixed value: the pattern that splits text before the merges of the byte-level vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF = 512
+LEAF = 1024
 PIECE_LEAF = 512
 MARGIN = 3
 WINDOW = 64
