@@ -166,3 +166,14 @@ def token_counts(df: DataFrame, text_col: str, out_col: str = "n_tokens", name:
         return pd.Series([len(encode_text(enc, t)) for t in texts], dtype="int32")
 
     return df.withColumn(out_col, count(F.col(text_col)))
+
+
+def decode_ids(df: DataFrame, ids_col: str, out_col: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS_DIR) -> DataFrame:
+    """df with out_col, the text of the ids: the way back of ``encode_corpus``. Null ids give null, none give an empty text."""
+
+    @F.pandas_udf("string")
+    def text(ids: pd.Series) -> pd.Series:
+        enc = tokenizer(name, folder)
+        return pd.Series([None if x is None else enc.decode([int(k) for k in x]) for x in ids], dtype="object")
+
+    return df.withColumn(out_col, text(F.col(ids_col)))

@@ -48,4 +48,16 @@ s AS MATERIALIZED (SELECT DISTINCT uid, hash(unnest(list_transform(range(1, len(
 n AS (SELECT uid, count(*) AS n FROM s GROUP BY uid),
 p AS (SELECT a.uid AS uid_a, b.uid AS uid_b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.uid < b.uid GROUP BY 1, 2)
 SELECT uid_a, uid_b FROM p JOIN n a ON a.uid = uid_a JOIN n b ON b.uid = uid_b WHERE k >= 0.6 * (a.n + b.n - k)""",
+    "p1_groups": r"""
+WITH RECURSIVE d AS (SELECT content, min(rec_id) AS rep FROM crawl_documents WHERE length(content) >= 500 GROUP BY content),
+w AS (SELECT rep, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM d),
+s AS MATERIALIZED (SELECT DISTINCT rep, hash(unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS h FROM w),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.rep < b.rep GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.rep = x JOIN n b ON b.rep = y WHERE k >= 0.6 * (a.n + b.n - k)),
+t AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT rep AS x, rep AS y FROM d UNION SELECT r.x, t.y FROM r JOIN t ON r.y = t.x),
+g AS (SELECT x AS rep, min(y) AS group_id FROM r GROUP BY x),
+l AS (SELECT x AS rep, count(*) AS n_links FROM t GROUP BY x)
+SELECT c.rec_id, g.group_id, coalesce(l.n_links, 0) AS n_links FROM crawl_documents c JOIN d ON c.content = d.content JOIN g ON g.rep = d.rep LEFT JOIN l ON l.rep = d.rep""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.hosts import host_of
 from skeinwork.llm.canonical import HYPHENS, INVISIBLE, LOOKALIKES, SPACES, canonical_text, lookalike_pairs
-from skeinwork.llm.encode import encode_corpus, token_counts
+from skeinwork.llm.encode import decode_ids, encode_corpus, token_counts
 from skeinwork.llm.packing import pack_items
 from skeinwork.llm.site_lines import boilerplate_lines, remove_boilerplate
 from skeinwork.llm.split import split_texts
@@ -74,10 +74,29 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rec_id", "uid", F.col("host").alias("domain"), "content", "lines_removed", "blocks_removed")
 
 
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_clean(spark, sf_dir).select("rec_id", "content", "lines_removed")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "ids", "byte_bpe_50k")
 
 
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of what each document's ids decode to."""
+    return decode_ids(p8_ids(spark, sf_dir), "ids", "text").select("doc_id", F.md5("text").alias("digest"))
+
+
+def p9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p9_packed: every document is there, no container is over its size, and only larger texts are split."""
+    size, _ = _limit(spark, sf_dir, "pack")
+    packed = p9_packed(spark, sf_dir)
+    full = packed.filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.coalesce(F.sum((F.col("n") > size).cast("int")), F.lit(0)).alias("overfull"))
+    each = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    split = each.agg(F.count("*").alias("documents"), F.sum((F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n") / size))).cast("int")).alias("needless"), F.sum((F.col("end") != F.col("n")).cast("int")).alias("gaps"))
+    return split.select("documents", F.lit(1).alias("k"), F.coalesce("needless", F.lit(0)).alias("needless"), F.coalesce("gaps", F.lit(0)).alias("gaps")).join(full.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, _ = _limit(spark, sf_dir, "pack")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,7 +131,7 @@ def _form_sql() -> str:
     return f"nfc_normalize({form})"
 
 
-QUERIES = {f.__name__: f for f in (p3_pieces, p3_found, p3_rejoined, p4_found, p4_blocks, p4_clean, p8_ids, p9_packed, p10_text, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_pieces, p3_found, p3_rejoined, p4_found, p4_blocks, p4_clean, p4_cleaned, p8_ids, p8_roundtrip, p9_packed, p9_rules, p10_text, p10_found)}
 SQL = {
     "p10_text": f"SELECT doc_id, {_form_sql()} AS canonical FROM documents",
     "p10_found": f"""WITH c AS MATERIALIZED (SELECT doc_id, text, {_form_sql()} AS form FROM documents)
@@ -127,6 +146,16 @@ WITH d AS (SELECT uid, min_by(content, rec_id) AS content, min_by(markdown, rec_
 t AS (SELECT uid, 'content' AS field, content AS text FROM d UNION ALL SELECT uid, 'markdown', markdown FROM d)
 SELECT uid, field, md5(text) AS digest, 0 AS too_long, 0 AS apart,
   CASE WHEN length(text) > (SELECT max_size FROM size_limits WHERE limit_name = 'split') THEN 1 ELSE 0 END AS cut FROM t WHERE length(text) > 0""",
+    "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p9_rules": "SELECT count(*) AS documents, 0 AS overfull, 0 AS needless, 0 AS gaps FROM documents",
+    "p4_cleaned": r"""
+WITH d AS (SELECT DISTINCT uid, content, rec_id, nullif(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(regexp_replace(trim(url), '^([a-zA-Z][a-zA-Z0-9+.\-]*:)?//', ''), '^[^/?#\\]*'), '^.*@', '')), ':\d*$', ''), '^www\.', ''), '') AS domain FROM crawl_documents),
+n AS (SELECT domain, count(DISTINCT uid) AS total FROM d WHERE content IS NOT NULL GROUP BY domain),
+x AS MATERIALIZED (SELECT domain, uid, rec_id, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS no FROM d WHERE content IS NOT NULL),
+l AS MATERIALIZED (SELECT *, trim(regexp_replace(regexp_replace(lower(raw), '\d+', '#', 'g'), '\s+', ' ', 'g')) AS line FROM x),
+f AS (SELECT l.domain, l.line FROM l JOIN n ON l.domain = n.domain WHERE l.line <> '' GROUP BY l.domain, l.line, n.total HAVING count(DISTINCT l.uid) >= 5 AND count(DISTINCT l.uid) >= 0.1 * n.total),
+c AS (SELECT l.rec_id, string_agg(CASE WHEN f.line IS NULL THEN l.raw END, chr(10) ORDER BY l.no) AS content, count(f.line)::INT AS lines_removed FROM l LEFT JOIN f ON l.domain = f.domain AND l.line = f.line GROUP BY l.rec_id)
+SELECT d.rec_id, CASE WHEN d.content IS NOT NULL THEN coalesce(c.content, '') END AS content, coalesce(c.lines_removed, 0)::INT AS lines_removed FROM d LEFT JOIN c USING (rec_id)""",
     "p4_found": r"""
 WITH d AS (SELECT DISTINCT uid, content, nullif(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(regexp_replace(trim(url), '^([a-zA-Z][a-zA-Z0-9+.\-]*:)?//', ''), '^[^/?#\\]*'), '^.*@', '')), ':\d*$', ''), '^www\.', ''), '') AS domain
            FROM crawl_documents WHERE content IS NOT NULL),
