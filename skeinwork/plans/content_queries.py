@@ -28,6 +28,10 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.extract(_pages(spark, sf_dir), ["main_markdown", "main_mini_html"])
 
 
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.extract(_pages(spark, sf_dir), ["title"]).select("page_id", "title")
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = C.extract(_pages(spark, sf_dir), ["links"]).select("page_id", "url", F.explode("links").alias("l"))
     own = p.select("page_id", "url", F.col("l.url").alias("target"), F.col("l.anchor").alias("anchor"))
@@ -91,7 +95,7 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(docs, "rec_id", "content", "broken sitemap, archive", 50, 0, F.col("language") == "en", "parent")
 
 
-QUERIES = {f.__name__: f for f in (page_documents, page_markdown, page_links, page_link_degrees, page_blocks, page_schema, page_fields, head_metadata, structured_types, stored_page_map, search_documents, indexed_search, search_pages)}
+QUERIES = {f.__name__: f for f in (page_documents, page_markdown, page_titles, page_links, page_link_degrees, page_blocks, page_schema, page_fields, head_metadata, structured_types, stored_page_map, search_documents, indexed_search, search_pages)}
 
 _HEAD = "CASE WHEN strpos(lower(html), '</head>') > 0 THEN substr(html, 1, strpos(lower(html), '</head>') - 1) ELSE substr(html, 1, 8192) END"
 
@@ -105,7 +109,28 @@ s AS (SELECT count(*)::DOUBLE AS n, avg(size) AS mean, {', '.join(f'count(*) FIL
 r AS (SELECT *, {ident} AS id, round({' + '.join(parts)}, 6) AS score FROM c)"""
 
 
+_PARSED = "p AS (SELECT page_id, url, html FROM raw_pages WHERE (content_type IS NULL OR lower(content_type) LIKE '%html%' OR lower(content_type) LIKE '%markdown%') AND length(html) > 0)"
+
+
+def _plain(markup: str) -> str:
+    """Text of a stretch of markup in SQL: without tags, with the five named characters, spaces collapsed."""
+    out = f"regexp_replace({markup}, '<[^>]*>', '', 'g')"
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{sign}')"
+    return f"nullif(trim(regexp_replace({out}, '\\s+', ' ', 'g')), '')"
+
+
+_LINKS = f"""{_PARSED},
+a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*')) AS a FROM p),
+l AS (SELECT page_id, url, regexp_extract(a, '"([^"]*)"', 1) AS href, {_plain("regexp_extract(a, '>(.*)', 1, 's')")} AS anchor FROM a),
+links AS (SELECT page_id, url, CASE WHEN href LIKE '/%' THEN lower(regexp_extract(url, '^[A-Za-z]+:')) || regexp_extract(url, '//[^/?#]*') || href WHEN href LIKE '#%' THEN regexp_replace(url, '#.*$', '') || href ELSE href END AS target, anchor FROM l)"""
 SQL = {
+    "page_titles": f"""WITH {_PARSED} SELECT page_id, coalesce({_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, {_plain("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}) AS title FROM p""",
+    "page_links": f"WITH {_LINKS} SELECT page_id, url, target, anchor FROM links",
+    "page_link_degrees": f"""WITH {_LINKS},
+s AS (SELECT DISTINCT {GRAPH_SQL} AS src, t FROM (SELECT url, target AS t FROM links)),
+e AS (SELECT DISTINCT src, {GRAPH_SQL} AS dst FROM (SELECT src, t AS url FROM s))
+SELECT node, sum(i)::BIGINT AS inbound, sum(o)::BIGINT AS outbound FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e WHERE src <> dst UNION ALL SELECT dst, 1, 0 FROM e WHERE src <> dst) GROUP BY node""",
     "head_metadata": rf"""SELECT page_id, nullif(trim(regexp_extract({_HEAD}, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
 coalesce(nullif(trim(regexp_extract({_HEAD}, '(?is)<meta[^>]+name\s*=\s*["'']description["''][^>]+content\s*=\s*["'']([^"'']*)["'']', 1)), ''), nullif(trim(regexp_extract({_HEAD}, '(?is)<meta[^>]+content\s*=\s*["'']([^"'']*)["''][^>]+name\s*=\s*["'']description["'']', 1)), '')) AS description FROM raw_pages""",
     "stored_page_map": f"SELECT {GRAPH_SQL} AS key, count(*) AS n, max(title) AS title FROM crawl_documents WHERE parent_document_id IS NULL GROUP BY 1",
