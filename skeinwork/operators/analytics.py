@@ -8,6 +8,7 @@ Orders of equal measures are settled by the key, so limits are deterministic. Em
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime
 
@@ -249,12 +250,35 @@ def rate_and_error_windows(events: DataFrame, size: str = "1 hour", slide: str =
     return out.select(F.col("window.start").alias("start"), "n", "failures", F.round(F.col("failures") / F.col("n"), 6).alias("error_ratio"), F.round(F.col("q")[0], 6).alias("p50_ms"), F.round(F.col("q")[1], 6).alias("p95_ms"))
 
 
+def alert_windows(events: DataFrame, key: str = "domain", ratio: float = 0.5, hold: int = 3, bucket: str = "5 minutes") -> DataFrame:
+    """Per key and bucket of time with events: ``rate`` (per second), ``error_ratio``, ``increase`` (rows of the last 30 minutes), ``delta``
+    (against the bucket 10 minutes before, null without one), and ``firing``: the ratio was over its limit in the last ``hold``
+    buckets on end. Rows are summed per bucket before anything is ordered, so a key's window holds its buckets only."""
+    per = events.groupBy(key, F.window("timestamp", bucket).start.alias("started")).agg(F.count("*").alias("n"), F.count_if(_failed()).alias("failures"))
+    secs = F.unix_seconds("started")
+    w = Window.partitionBy(key).orderBy(secs)
+    step = 300
+    before = F.max("n").over(w.rangeBetween(-600, -600))
+    bad = (F.col("failures") / F.col("n") > ratio).cast("int")
+    held = F.sum(bad).over(w.rangeBetween(-step * (hold - 1), 0)) == hold
+    return per.select(key, "started", F.round(F.col("n") / step, 6).alias("rate"), F.round(F.col("failures") / F.col("n"), 6).alias("error_ratio"), F.sum("n").over(w.rangeBetween(-1800 + step, 0)).alias("increase"), (F.col("n") - before).alias("delta"), held.alias("firing"))
+
+
 PIPES: dict[str, Callable[..., DataFrame]] = {
     f.__name__: f
     for f in (hourly_stats, daily_stats, top_domains, domain_stats, error_distribution, kpis, job_stats, ai_usage, job_timeline, job_event_summary, account_usage, account_daily_usage, account_daily_usage_by_operation, api_key_usage, top_accounts)
 }
 
 
+def respond(name: str, *args, **params) -> dict:
+    """A pipe's answer: meta (names and types of its columns), data, rows and statistics (seconds). For pipes whose rows are bounded by
+    a limit or by the calendar; they are brought to the driver."""
+    began = time.time()
+    df = pipe(name, *args, **params)
+    data = [r.asDict(recursive=True) for r in df.collect()]
+    return {"meta": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields], "data": data, "rows": len(data), "statistics": {"elapsed": time.time() - began, "rows_read": len(data)}}
+
+
 def pipe(name: str, *args, **params) -> DataFrame:
     """A pipe by its name in the catalogue."""
     if name not in PIPES:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork.functions.urls import extract_domain, history_key, normalize_domain
+from skeinwork.session import cut_lineage
 
 MIN_AGE, MAX_AGE = 3600, 7 * 24 * 3600
 DEFAULT_INTERVAL, LEAST_INTERVAL, MOST_INTERVAL = 24 * 3600, 3600, 7 * 24 * 3600
@@ -46,7 +47,8 @@ def dense_position(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
     by = [F.col(k) for k in keys] + order
     ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id())
     local = Window.partitionBy("__part", *keys).orderBy(*order)
-    numbered = ranged.withColumn("__at", F.row_number().over(local))
+    # written while the query is built: counts and rows must come from one and the same cut into ranges
+    numbered = cut_lineage(ranged.withColumn("__at", F.row_number().over(local)))
     counts = numbered.groupBy("__part", *keys).agg(F.max("__at").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn("__shift", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

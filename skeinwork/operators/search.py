@@ -51,6 +51,28 @@ def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
     return weighed.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
 
 
+def map_search(pages: DataFrame, term: str | None, limit: int, order: str) -> DataFrame:
+    """Pages (url, title, description) that have the term, whatever its case, in one of these: those with it in their address first, else
+    in the order of a unique column; without a term all pages in that order. Null titles and descriptions have no term."""
+    if not term:
+        return pages.orderBy(order).limit(limit)
+    has = lambda c: F.coalesce(F.lower(c).contains(term.lower()), F.lit(False))
+    return pages.filter(has("url") | has("title") | has("description")).orderBy(F.when(has("url"), 0).otherwise(1), order).limit(limit)
+
+
+def index_settings(features: set[str], searchable: list[str], filterable: list[str], sortable: list[str], custom: list[str] = ()) -> dict:
+    """The columns of an index that are searched, filtered and sorted by, and the one whose values come out once, for the features in use."""
+    texts = [f for f in ("markdown", "ai_summary", "ai_extraction") if f in features]
+    fields = [f"custom.{c}" for c in custom]
+    blocks = "block_split" in features
+    return {
+        "searchable": [*searchable, *texts, *fields, *(("h4", "h5", "h6") if blocks else ())],
+        "filterable": [*filterable, *(("schema",) if "schema" in features else ()), *fields, *(("parent_document_id", "page_block", "anchor") if blocks else ())],
+        "sortable": [*sortable, *(("page_block",) if blocks else ())],
+        "distinct": "parent_document_id" if blocks else None,
+    }
+
+
 def _words(query: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in query.lower()).split()
 

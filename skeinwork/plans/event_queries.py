@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import urls as U
 from skeinwork.functions.sketches import simhash
+from skeinwork.operators import analytics as A
 from skeinwork.operators import frontier as Q
+from skeinwork.operators import jobs as J
 from skeinwork.operators import search as R
 from skeinwork.operators import similarity as S
+from skeinwork.operators.content import head_fields
+from skeinwork.plans.content_queries import SQL as CONTENT_SQL
 from skeinwork.plans.similarity_queries import SQL as _SKETCH_SQL
 from skeinwork.plans.url_queries import DOMAIN_SQL
 from skeinwork.session import table
@@ -37,6 +41,35 @@ def job_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.job_counters(_crawl_events(spark, sf_dir))
 
 
+def _lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl events with the start of every job, and its end: a failure where over 3 of 10 requests failed, else a completion if it is over."""
+    e = _crawl_events(spark, sf_dir).filter("type <> 'urls_discovered'")
+    per = e.groupBy("job_id").agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.count("*").alias("n"), F.count_if(F.col("type") == "page_failed").alias("f"))
+    none = F.lit(None).cast("bigint")
+    end = F.when(F.col("f") * 10 > F.col("n") * 3, "job_failed").when(F.col("hi") < F.unix_millis(F.lit(AS_OF).cast("timestamp")), "job_completed")
+    ends = per.select(end.alias("type"), "job_id", F.col("hi").alias("timestamp"), F.col("n").alias("pages_crawled"), none.alias("documents_indexed"), F.lit(0).cast("bigint").alias("duration_secs")).filter("type IS NOT NULL")
+    starts = per.select(F.lit("job_started").alias("type"), "job_id", F.col("lo").alias("timestamp"))
+    return e.select("type", "job_id", "timestamp").unionByName(starts).unionByName(ends, allowMissingColumns=True)
+
+
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.job_states(_lifecycle(spark, sf_dir), 500)
+
+
+def system_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.job_summary(J.job_states(_lifecycle(spark, sf_dir)))
+
+
+def alert_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.alert_windows(_events(spark, sf_dir).select("domain", "timestamp", "status_code", "error"), ratio=0.2, hold=2)
+
+
+def map_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title, description = head_fields("html")
+    pages = table(spark, sf_dir, "raw_pages").select("page_id", "url", title.alias("title"), description.alias("description"))
+    return R.map_search(pages, "Archive", 40, "page_id")
+
+
 def job_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of activity of each job that ended with a pause of six hours."""
     return folds.idle_sessions(_events(spark, sf_dir).withColumnRenamed("timestamp", "event_time"), "6 hours")
@@ -88,7 +121,7 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.simhash_clusters(table(spark, sf_dir, "documents").select("doc_id", simhash("text", "md5hex").alias("h")), "doc_id", "h", 3).select("id", "cluster")
 
 
-QUERIES = {f.__name__: f for f in (job_counters, job_pauses, account_sessions, admitted_urls, conditional_headers, upserted_records, inserted_urls, registered_domains, search_index, simhash_pairs, simhash_groups)}
+QUERIES = {f.__name__: f for f in (job_counters, job_states, system_stats, alert_windows, map_pages, job_pauses, account_sessions, admitted_urls, conditional_headers, upserted_records, inserted_urls, registered_domains, search_index, simhash_pairs, simhash_groups)}
 
 
 def _sessions(key: str, us: int) -> str:
@@ -99,7 +132,20 @@ s AS (SELECT {key}, t, sum(fresh) OVER (PARTITION BY {key} ORDER BY t RANGE UNBO
 _PLAIN = f"regexp_replace({DOMAIN_SQL}, '^www\\.', '')"
 _HASHES = f"h0 AS MATERIALIZED ({_SKETCH_SQL['simhash_md5']})"
 _NEAR = "p AS MATERIALIZED (SELECT a.h AS a, b.h AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM d a JOIN d b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 3)"
+_STATES = f"""e AS (SELECT *, CASE WHEN status_code = 0 OR status_code >= 400 THEN 'f' WHEN status_code IN (204, 304) THEN 's' ELSE 'c' END AS k, epoch_ms(timestamp) AS ms FROM request_events WHERE job_id <> ''),
+c AS (SELECT job_id, count(*) FILTER (WHERE k = 'c') AS pages, count(*) FILTER (WHERE k = 'f') AS errors, count(*) AS n, min(ms) AS lo, max(ms) AS hi, max(CASE WHEN k <> 's' THEN ms END) AS active FROM e GROUP BY 1),
+s AS (SELECT *, CASE WHEN errors * 10 > n * 3 THEN 'failed' WHEN hi < epoch_ms(TIMESTAMP '{AS_OF}') THEN 'completed' ELSE 'running' END AS status, (active - lo) // 1000 AS secs FROM c),
+j AS (SELECT job_id, status, CASE WHEN status = 'completed' THEN n ELSE pages END AS pages_crawled, 0::BIGINT AS documents_indexed, errors, lo AS started_ms, CASE WHEN status <> 'running' THEN hi END AS ended_ms,
+CASE WHEN secs > 0 THEN round(CASE WHEN status = 'completed' THEN n ELSE pages END / secs, 6) ELSE 0.0 END AS crawl_rate FROM s)"""
 SQL = {
+    "job_states": f"WITH {_STATES} SELECT *, CASE WHEN status = 'running' AND crawl_rate > 0 THEN ceil(greatest(500 - pages_crawled, 0) / crawl_rate)::BIGINT END AS eta_secs FROM j",
+    "system_stats": f"WITH {_STATES} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, 0::BIGINT AS pending FROM j",
+    "alert_windows": """WITH b AS (SELECT domain, time_bucket(INTERVAL 5 MINUTE, timestamp) AS started, count(*) AS n, count(*) FILTER (WHERE status_code >= 400 OR status_code = 0 OR coalesce(error, '') <> '') AS f FROM request_events GROUP BY 1, 2)
+SELECT domain, started, round(n / 300, 6) AS rate, round(f / n, 6) AS error_ratio, sum(n) OVER (PARTITION BY domain ORDER BY started RANGE BETWEEN INTERVAL 25 MINUTE PRECEDING AND CURRENT ROW)::BIGINT AS increase,
+n - (SELECT o.n FROM b o WHERE o.domain = b.domain AND o.started = b.started - INTERVAL 10 MINUTE) AS delta,
+sum(CASE WHEN f / n > 0.2 THEN 1 ELSE 0 END) OVER (PARTITION BY domain ORDER BY started RANGE BETWEEN INTERVAL 5 MINUTE PRECEDING AND CURRENT ROW) = 2 AS firing FROM b""",
+    "map_pages": f"""WITH h AS ({CONTENT_SQL['head_metadata']}), p AS (SELECT page_id, url, h.title, h.description FROM raw_pages JOIN h USING (page_id))
+SELECT * FROM p WHERE contains(lower(url), 'archive') OR coalesce(contains(lower(title), 'archive'), false) OR coalesce(contains(lower(description), 'archive'), false) ORDER BY CASE WHEN contains(lower(url), 'archive') THEN 0 ELSE 1 END, page_id LIMIT 40""",
     "job_counters": """WITH e AS (SELECT *, CASE WHEN status_code = 0 OR status_code >= 400 THEN 'f' WHEN status_code IN (204, 304) THEN 's' ELSE 'c' END AS k, epoch_ms(timestamp) AS ms FROM request_events WHERE job_id <> ''),
 c AS (SELECT job_id, count(*) FILTER (WHERE k = 'c') AS pages_crawled, count(*) FILTER (WHERE k = 'f') AS errors, count(*) FILTER (WHERE k = 's') AS skipped, 0::BIGINT AS documents_indexed,
 coalesce(sum(CASE WHEN urls_found > 0 THEN urls_found END), 0)::BIGINT AS urls_discovered, coalesce(sum(CASE WHEN k = 'c' THEN content_length END), 0)::BIGINT AS bytes_downloaded, min(ms) AS first_ms, max(ms) AS last_ms FROM e GROUP BY 1)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.functions.urls import store_key
 from skeinwork.operators.dedup import latest_by
 
 
@@ -75,3 +76,32 @@ def remove_stale(docs: DataFrame, job_id: str, job_col: str = "_crawl_job_id") -
 
 def prefix_scan(table: DataFrame, key: str, prefix: str) -> DataFrame:
     return table.filter(F.col(key).startswith(prefix)).orderBy(key)
+
+
+def increment(table: DataFrame | None, hits: DataFrame, key: str, as_of: str, ttl_secs: int) -> DataFrame:
+    """A table of counters (key, n, expires_at) after hits: each adds one and puts the end off; counters whose time is over begin anew."""
+    now = F.lit(as_of).cast("timestamp")
+    new = hits.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__hits"))
+    new = new.withColumn("__end", now + F.make_dt_interval(secs=F.lit(ttl_secs)))
+    if table is None:
+        return new.select(key, F.col("__hits").alias("n"), F.col("__end").alias("expires_at"))
+    live = table.filter(F.col("expires_at") > now)
+    return live.join(new, key, "full").select(key, (F.coalesce("n", F.lit(0)) + F.coalesce("__hits", F.lit(0))).alias("n"), F.coalesce("__end", "expires_at").alias("expires_at"))
+
+
+def put_pages(pages: DataFrame, path: str, url_col: str = "url", html_col: str = "html") -> None:
+    """Add pages to the store at path under their keys (``key, html, size``), sorted by key within files; null pages are not stored."""
+    own = pages.filter(F.col(html_col).isNotNull() & F.col(url_col).isNotNull())
+    own = own.select(store_key(url_col).alias("key"), F.col(html_col).alias("html"), F.length(html_col).alias("size"))
+    own.repartition(F.substring("key", 1, 16)).sortWithinPartitions("key").write.mode("append").parquet(path)
+
+
+def stored_pages(spark: SparkSession, path: str, prefix: str = "", with_html: bool = True) -> DataFrame:
+    """The stored pages whose key begins with prefix; without html only keys and sizes are read."""
+    rows = spark.read.parquet(path).filter(F.col("key").startswith(prefix))
+    return rows if with_html else rows.select("key", "size")
+
+
+def delete_pages(spark: SparkSession, path: str, keys: DataFrame) -> None:
+    """Take the pages with these keys (one column ``key``) out of the store."""
+    replace_table(spark.read.parquet(path).join(keys.select("key").distinct(), "key", "left_anti"), path)

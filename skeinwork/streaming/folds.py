@@ -16,6 +16,19 @@ from pyspark.sql.streaming.state import GroupState
 from skeinwork.functions.urls import dedup_key
 
 LEAST, MOST, DEFAULT = 3600, 7 * 24 * 3600, 24 * 3600
+#: State whose last row is so much older (ms of event time) than the watermark is dropped; rows may be late by LATENESS.
+HISTORY_TTL, BUCKET_TTL, DELAY_TTL = 30 * 24 * 3_600_000, 3_600_000, 24 * 3_600_000
+LATENESS = "1 day"
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    """rows (with timestamp in ms) with a watermark, so that states can end; a timer of the clock would keep bounded runs alive."""
+    return rows.withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", LATENESS)
+
+
+def _keep(state: GroupState, value: tuple, last: int, ttl: int) -> None:
+    state.update(value)
+    state.setTimeoutTimestamp(max(last + ttl, state.getCurrentWatermarkMs() + 1))
 
 
 def job_counters(events: DataFrame) -> DataFrame:
@@ -62,19 +75,24 @@ def _step(state: tuple | None, content_hash: str | None, at: int) -> tuple:
     return crawls + 1, changes + changed, interval, content_hash, at
 
 
-def history_stream(crawls: DataFrame) -> DataFrame:
-    """Records of addresses (url, content_hash, timestamp in ms) as they change, in update mode."""
+def history_stream(crawls: DataFrame, ttl: int = HISTORY_TTL) -> DataFrame:
+    """Records of addresses (url, content_hash, timestamp in ms) as they change, in update mode; a record whose last crawl is ttl ms behind the watermark is forgotten."""
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         own = tuple(state.get) if state.exists else None
+        if own is not None and own[-1] + ttl <= state.getCurrentWatermarkMs():  # over, but met by a new row before its end was due
+            own = None
         rows = pd.concat(list(pdfs)).sort_values("timestamp", kind="stable")
         for h, at in zip(rows["content_hash"], rows["timestamp"]):
             own = _step(own, h if isinstance(h, str) else None, int(at))
-        state.update(own)
+        _keep(state, own, own[-1], ttl)
         yield pd.DataFrame([(key[0], *own)], columns=["url", "crawl_count", "change_count", "recrawl_interval_secs", "content_hash", "last_ms"])
 
     keyed = crawls.select(F.lower(F.trim("url")).alias("url"), "content_hash", "timestamp")
-    return keyed.groupBy("url").applyInPandasWithState(fold, _HISTORY, "n long, c long, i long, h string, t long", "update", "NoTimeout")
+    return _timed(keyed).groupBy("url").applyInPandasWithState(fold, _HISTORY, "n long, c long, i long, h string, t long", "update", "EventTimeTimeout")
 
 
 _BUCKET = "domain string, timestamp long, acquired boolean, wait_ms long"
@@ -100,13 +118,16 @@ def token_bucket_stream(requests: DataFrame, rate: float = 1.0, burst: int = 10)
     """``domain, timestamp, acquired, wait_ms`` of each request (domain, timestamp in ms) under a bucket per domain."""
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # a bucket that nobody asks for is full again
+            state.remove()
+            return
         tokens, last = tuple(state.get) if state.exists else (None, None)
         rows = pd.concat(list(pdfs)).sort_values("timestamp", kind="stable")
         verdicts, tokens, last = bucket_steps([(int(t),) for t in rows["timestamp"]], tokens, last, rate, burst)
-        state.update((tokens, last))
+        _keep(state, (tokens, last), int(rows["timestamp"].iloc[-1]), BUCKET_TTL)
         yield pd.DataFrame({"domain": key[0], "timestamp": rows["timestamp"].to_numpy(), "acquired": [v[0] for v in verdicts], "wait_ms": [v[1] for v in verdicts]})
 
-    return requests.select("domain", "timestamp").groupBy("domain").applyInPandasWithState(fold, _BUCKET, "tokens double, last long", "append", "NoTimeout")
+    return _timed(requests.select("domain", "timestamp")).groupBy("domain").applyInPandasWithState(fold, _BUCKET, "tokens double, last long", "append", "EventTimeTimeout")
 
 
 def request_sessions(requests: DataFrame, limit: int, key: str = "account_id", at: str = "event_time", gap: str = "60 seconds", watermark: str = "5 minutes") -> DataFrame:
@@ -147,11 +168,14 @@ def delay_stream(requests: DataFrame) -> DataFrame:
     """The delay of each domain after every micro-batch of its requests (domain, status_code, timestamp in ms)."""
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         own = tuple(state.get) if state.exists else (DELAY_DEFAULT, 0, False)
         rows = pd.concat(list(pdfs)).sort_values("timestamp", kind="stable")
         for status in rows["status_code"]:
             own = delay_step(own, int(status))
-        state.update(own)
+        _keep(state, own, int(rows["timestamp"].iloc[-1]), DELAY_TTL)
         yield pd.DataFrame([(key[0], int(rows["timestamp"].iloc[-1]), own[0], own[2])], columns=["domain", "timestamp", "delay_ms", "paused"])
 
-    return requests.select("domain", "status_code", "timestamp").groupBy("domain").applyInPandasWithState(fold, _DELAY, "delay long, errors long, paused boolean", "update", "NoTimeout")
+    return _timed(requests.select("domain", "status_code", "timestamp")).groupBy("domain").applyInPandasWithState(fold, _DELAY, "delay long, errors long, paused boolean", "update", "EventTimeTimeout")

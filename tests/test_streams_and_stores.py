@@ -42,7 +42,7 @@ def test_job_counters_stream_equals_batch(spark, tmp_path):
 
 
 def test_history_stream_equals_batch(spark, tmp_path):
-    rows = [("u", h, i * 1000) for i, h in enumerate(["a", "a", "b", None, None, "b", "b"])] + [("V ", "x", 5)]
+    rows = [("u", h, 1000 + i * 1000) for i, h in enumerate(["a", "a", "b", None, None, "b", "b"])] + [("V ", "x", 5)]
     schema = "url string, content_hash string, timestamp bigint"
     out = drain(folds.history_stream(stream_of(spark, tmp_path, rows, schema)), "hist", "update")
     last = {r.url: (r.crawl_count, r.change_count, r.recrawl_interval_secs) for r in out.orderBy("crawl_count").collect()}
@@ -51,9 +51,9 @@ def test_history_stream_equals_batch(spark, tmp_path):
 
 
 def test_token_bucket(spark, tmp_path):
-    rows = [("d", t) for t in [0] * 12 + [500, 1000, 1000]]
+    rows = [("d", 1000 + t) for t in [0] * 12 + [500, 1000, 1000]]
     out = drain(folds.token_bucket_stream(stream_of(spark, tmp_path, rows, "domain string, timestamp bigint")), "bucket").orderBy("timestamp").collect()
-    assert sum(r.acquired for r in out) == 11 and {r.wait_ms for r in out if not r.acquired and r.timestamp == 0} == {1000}
+    assert sum(r.acquired for r in out) == 11 and {r.wait_ms for r in out if not r.acquired and r.timestamp == 1000} == {1000}
 
 
 def test_sessions(spark):
@@ -145,7 +145,20 @@ def test_delays(spark, tmp_path):
     for c in codes:
         own = folds.delay_step(own, c)
     assert folds.delay_step((2250, 4, False), 200) == (2025, 0, False) and own[2] and own[0] > 20_000
-    rows = [("d", c, k) for k, c in enumerate(codes)] + [("e", 200, 1)]
+    rows = [("d", c, 1 + k) for k, c in enumerate(codes)] + [("e", 200, 1)]
     out = drain(folds.delay_stream(stream_of(spark, tmp_path, rows, "domain string, status_code int, timestamp bigint")), "delays", "update")
     last = {r.domain: (r.delay_ms, r.paused) for r in out.orderBy("timestamp").collect()}
     assert last == {"d": (own[0], True), "e": (1000, False)}
+
+
+def test_states_end(spark, tmp_path):
+    """A state whose last row is its time to live behind the watermark is dropped; the address begins anew."""
+    day = 24 * 3_600_000
+    schema = "url string, content_hash string, timestamp bigint"
+    source = tmp_path / "source"
+    spark.createDataFrame([("u", "a", day), ("u", "b", 2 * day)], schema).coalesce(1).write.mode("append").json(str(source))
+    spark.createDataFrame([("v", "a", 60 * day)], schema).coalesce(1).write.mode("append").json(str(source))
+    spark.createDataFrame([("u", "b", 61 * day)], schema).coalesce(1).write.mode("append").json(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
+    out = drain(folds.history_stream(stream), "ends", "update").collect()
+    assert sorted((r.url, r.last_ms // day, r.crawl_count) for r in out) == [("u", 2, 2), ("u", 61, 1), ("v", 60, 1)]
