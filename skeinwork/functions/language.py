@@ -1,9 +1,21 @@
-"""A small language guess for the content plane: scripts and frequent words (the trained model is elsewhere)."""
+"""Languages of the content plane: a guess by scripts and frequent words, and profiles of three-letter sequences trained on labelled texts.
+
+The guess needs no data and knows the languages listed here; profiles know every language that a labelled table holds.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skeinwork.session import cut_lineage
 
 MIN_BYTES, MIN_CONFIDENCE = 50, 0.8
 
@@ -43,3 +55,75 @@ def detect(text: str | None, least: float = MIN_CONFIDENCE) -> tuple[str | None,
     rest = max(v for k, v in scores.items() if k != best)
     confidence = 0.0 if not scores[best] else scores[best] ** 2 / (scores[best] ** 2 + rest**2)
     return (best if confidence >= least else None), confidence
+
+
+#: Bounds of the training of profiles: labelled rows per language (chosen by a hash of the text) and sequences kept per language.
+PROFILE_ROWS, PROFILE_SIZE = 2000, 3000
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _sequences(text: str) -> Counter:
+    """Sequences of three letters, a space standing before and after each word."""
+    out: Counter = Counter()
+    for word, n in Counter(_LETTERS.findall(text.lower())).items():
+        padded = f" {word} "
+        for k in range(len(padded) - 2):
+            out[padded[k : k + 3]] += n
+    return out
+
+
+@dataclass
+class Profiles:
+    """Log probabilities of the usual sequences of each language, and that of any other."""
+
+    known: dict[str, dict[str, float]]
+    other: dict[str, float]
+
+    def detect(self, text: str | None, least: float = MIN_CONFIDENCE) -> tuple[str | None, float]:
+        """(code, confidence) as of ``detect``; the confidence is the probability of the best language over all of them."""
+        if not text or len(text.encode()) < MIN_BYTES or not self.known:
+            return None, 0.0
+        found = _sequences(text)
+        if not found:
+            return None, 0.0
+        sums = {c: sum(n * own.get(x, self.other[c]) for x, n in found.items()) for c, own in self.known.items()}
+        best = max(sums, key=sums.__getitem__)
+        # neighbouring sequences are not independent: their evidence is damped by a third
+        confidence = 1.0 / sum(math.exp(max(-700.0, (v - sums[best]) / 3)) for v in sums.values())
+        return (best if confidence >= least else None), confidence
+
+
+def train_profiles(df: DataFrame, text_col: str, label_col: str) -> Profiles:
+    """Profiles of every language of df with a label (two or more letters, region and case aside).
+
+    Sequences are counted on the executors and combined per task; the driver gets at most PROFILE_SIZE of each language. Null
+    texts and labels do not count; without any labelled text nothing is ever detected.
+    """
+    code = F.regexp_extract(F.lower(F.trim(label_col)), "^([a-z]{2,})(?:[-_].*)?$", 1)
+    own = df.filter(F.length(text_col) > 0).select(code.alias("code"), F.col(text_col).alias("text")).filter("code <> ''")
+    sizes = {r.code: r.n for r in own.groupBy("code").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return Profiles({}, {})
+    share = F.coalesce(*[F.when(F.col("code") == c, F.lit(min(1.0, PROFILE_ROWS / n))) for c, n in sizes.items()])
+    picked = own.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums: dict[str, Counter] = {}
+            for c, t in zip(pdf["code"], pdf["text"]):
+                sums.setdefault(c, Counter()).update(_sequences(t))
+            yield pd.DataFrame([(c, x, n) for c, own in sums.items() for x, n in own.items()], columns=["code", "seq", "n"])
+
+    counts = picked.mapInPandas(count, "code string, seq string, n long").groupBy("code", "seq").agg(F.sum("n").alias("n"))
+    return _profiles(cut_lineage(counts))  # small, and read once per language
+
+
+def _profiles(counts: DataFrame) -> Profiles:
+    totals = {r.code: (r.all, r.kinds) for r in counts.groupBy("code").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).collect()}
+    known: dict[str, dict[str, float]] = {}
+    other: dict[str, float] = {}
+    for c, (n, kinds) in totals.items():
+        top = counts.filter(F.col("code") == c).orderBy(F.desc("n"), "seq").limit(PROFILE_SIZE).collect()
+        known[c] = {r.seq: math.log((r.n + 0.5) / (n + kinds)) for r in top}
+        other[c] = math.log(0.5 / (n + kinds))
+    return Profiles(known, other)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from skeinwork.functions import page_meta as M
 from skeinwork.functions import readable as R
 from skeinwork.functions.dom import Node, parse
-from skeinwork.functions.language import detect
+from skeinwork.functions.language import Profiles, detect
 from skeinwork.functions.selectors import FieldRule, extract_fields, select
 from skeinwork.functions.urls import document_uid
 
@@ -66,10 +66,10 @@ FEATURES: dict[str, tuple[str, Callable[[Node, str | None], object]]] = {
 }
 
 
-def extract(pages: DataFrame, features: list[str], html_col: str = "html", url_col: str = "url", rules: dict[str, FieldRule] | None = None, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+def extract(pages: DataFrame, features: list[str], html_col: str = "html", url_col: str = "url", rules: dict[str, FieldRule] | None = None, include: list[str] = (), exclude: list[str] = (), profiles: Profiles | None = None) -> DataFrame:
     """pages without their HTML and with a column per feature (and ``fields``, JSON, for rules).
 
-    include keeps only what the selectors find, exclude removes what they find, before anything is computed. Null and empty pages
+    The language is told by profiles, if any are given, else by scripts and frequent words. include keeps only what the selectors find, exclude removes what they find, before anything is computed. Null and empty pages
     give nulls. A feature's name replaces a column of pages. No page can fail: what cannot be read counts as absent.
     """
     kept = [f for f in pages.schema.fields if f.name not in (html_col, "fields", *features)]
@@ -78,6 +78,7 @@ def extract(pages: DataFrame, features: list[str], html_col: str = "html", url_c
     schema = T.StructType([*kept, *made])
     work = {n: FEATURES[n][1] for n in features}
     columns = [f.name for f in kept]
+    trained = None if profiles is None else pages.sparkSession.sparkContext.broadcast(profiles)
     own, html, address = list(features), html_col, url_col if url_col in pages.columns else None
 
     def prepared(page: str) -> Node:
@@ -94,15 +95,16 @@ def extract(pages: DataFrame, features: list[str], html_col: str = "html", url_c
         return root
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tell = detect if trained is None else trained.value.detect
         for pdf in batches:
             out: dict[str, list] = {n: [] for n in names}
             urls = pdf["__url"]
             for page, url in zip(pdf["__html"], urls):
                 root = prepared(page) if page else None
                 for n in own:
-                    if n == "language" and "content" in own and root is not None:
-                        text = out["content"][-1] if own.index("content") < own.index("language") else _content(root, url)
-                        out[n].append(detect(text)[0] if text else None)
+                    if n == "language" and root is not None:
+                        text = out["content"][-1] if "content" in own and own.index("content") < own.index("language") else _content(root, url)
+                        out[n].append(tell(text)[0] if text else None)
                     else:
                         out[n].append(work[n](root, url) if root is not None else None)
                 if rules:

@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from skeinwork.functions import language as L
 from skeinwork.functions import page_meta as M
 from skeinwork.functions import readable as R
 from skeinwork.functions.dom import parse
@@ -161,3 +162,26 @@ def test_index_finds_what_the_scan_finds(spark, tmp_path):
     assert "PushedFilters: [In(term, [red])" in plan or "EqualTo(term,red)" in plan
     I.build_index(df.limit(0), "id", "t", str(tmp_path / "e"))
     assert I.search_index(spark, str(tmp_path / "e"), "red").collect() == []
+
+
+def test_trained_profiles(spark):
+    """Trained on one half of the labelled documents, profiles tell the language of the other half; wrong labels are in the minority."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("length(text) >= 200")
+    profiles = L.train_profiles(docs.filter("doc_id % 2 = 0"), "text", "lang")
+    held = [(r.text, r.lang.strip().lower()[:2]) for r in docs.filter("doc_id % 2 = 1 AND lang IS NOT NULL").collect()]
+    right = sum(profiles.detect(t)[0] == c for t, c in held)
+    assert len(profiles.known) >= 7 and right >= 0.85 * len(held)
+    assert sum(L.detect(t)[0] == c for t, c in held) <= right
+    assert all(len(x) <= L.PROFILE_SIZE for x in profiles.known.values())
+    page = spark.createDataFrame([(1, "u", "<p>" + "Der schnelle Fluss l\u00e4uft unter der Br\u00fccke. " * 6), (2, "u", None)], "page_id int, url string, html string")
+    assert {r.page_id: r.language for r in C.extract(page, ["language"], profiles=profiles).collect()} == {1: "de", 2: None}
+
+
+def test_profiles_of_any_language(spark):
+    """Languages without a list of words, with three-letter codes; nulls, short texts and an empty table."""
+    own = {"eus": "etxe handia mendian dago eta ibaia zubi azpitik igarotzen da egunero", "cym": "mae'r afon yn rhedeg o dan y bont ac mae'r bobl yn gwylio'r cychod"}
+    df = spark.createDataFrame([(t, c if k % 2 else c.upper() + "-x") for k in range(6) for c, t in own.items()] + [(None, "eus"), ("text", None), ("", "cym")], "t string, l string")
+    profiles = L.train_profiles(df, "t", "l")
+    assert {c: profiles.detect(t + " " + t)[0] for c, t in own.items()} == {c: c for c in own}
+    assert profiles.detect("kort") == (None, 0.0) and profiles.detect(None) == (None, 0.0) and profiles.detect("12345 " * 20) == (None, 0.0)
+    assert L.train_profiles(df.limit(0), "t", "l").detect("x" * 100) == (None, 0.0)
