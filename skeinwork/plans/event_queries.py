@@ -121,7 +121,12 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.simhash_clusters(table(spark, sf_dir, "documents").select("doc_id", simhash("text", "md5hex").alias("h")), "doc_id", "h", 3).select("id", "cluster")
 
 
-QUERIES = {f.__name__: f for f in (job_counters, job_states, system_stats, alert_windows, map_pages, job_pauses, account_sessions, admitted_urls, conditional_headers, upserted_records, inserted_urls, registered_domains, search_index, simhash_pairs, simhash_groups)}
+def simhash_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequential filter over the md5 form of the hash."""
+    return S.simhash_filter(table(spark, sf_dir, "documents").select("doc_id", simhash("text", "md5hex").alias("h")), "doc_id", "h")
+
+
+QUERIES = {f.__name__: f for f in (job_counters, job_states, system_stats, alert_windows, map_pages, job_pauses, account_sessions, admitted_urls, conditional_headers, upserted_records, inserted_urls, registered_domains, search_index, simhash_pairs, simhash_groups, simhash_kept)}
 
 
 def _sessions(key: str, us: int) -> str:
@@ -163,6 +168,12 @@ count(*) AS urls, count(DISTINCT dom) AS hosts FROM k GROUP BY 1""",
     "search_index": r"""WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 e AS (SELECT id, len(w)::INT AS size, unnest(w) AS term FROM t) SELECT id, term, count(*) AS tf, any_value(size) AS size FROM e GROUP BY id, term""",
     "simhash_pairs": f"WITH {_HASHES}, d AS (SELECT DISTINCT h FROM h0 WHERE h IS NOT NULL), {_NEAR} SELECT a, b, distance FROM p",
+    "simhash_kept": f"""WITH RECURSIVE {_HASHES}, o AS MATERIALIZED (SELECT doc_id, h, row_number() OVER (ORDER BY doc_id) AS k FROM h0 WHERE coalesce(h, 0) <> 0),
+f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ids, []::BIGINT[] AS hs, NULL::BIGINT AS id, NULL::BIGINT AS hit, NULL::BIGINT AS h UNION ALL
+SELECT q.k, CASE WHEN q.hit IS NULL THEN list_append(q.ids, q.id) ELSE q.ids END, CASE WHEN q.hit IS NULL THEN list_append(q.hs, q.h) ELSE q.hs END, q.id, q.hit, q.h FROM
+(SELECT o.k, f.ids, f.hs, o.doc_id AS id, o.h, list_filter(range(1, len(f.hs) + 1), lambda i: bit_count(xor(f.hs[i], o.h)) <= 3)[1] AS hit FROM f JOIN o ON o.k = f.k + 1) q)
+SELECT id, CASE WHEN hit IS NOT NULL THEN ids[hit] END AS duplicate_of, CASE WHEN hit IS NOT NULL THEN 1 - bit_count(xor(hs[hit], h)) / 64 END AS similarity FROM f WHERE id IS NOT NULL
+UNION ALL SELECT doc_id, NULL, NULL FROM h0 WHERE coalesce(h, 0) = 0""",
     "simhash_groups": f"""WITH RECURSIVE {_HASHES}, d AS (SELECT DISTINCT h FROM h0 WHERE h IS NOT NULL), {_NEAR},
 n AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r AS (SELECT h AS node, h AS o FROM d UNION SELECT n.y, r.o FROM r JOIN n ON n.x = r.node),
 m AS (SELECT h, min(doc_id) AS rep FROM h0 WHERE h IS NOT NULL GROUP BY h)
