@@ -121,12 +121,18 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.simhash_clusters(table(spark, sf_dir, "documents").select("doc_id", simhash("text", "md5hex").alias("h")), "doc_id", "h", 3).select("id", "cluster")
 
 
+def simhash_cluster_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster of the md5 form of the hash, its rows, and their mean similarity."""
+    rows = S.simhash_clusters(table(spark, sf_dir, "documents").select("doc_id", simhash("text", "md5hex").alias("h")), "doc_id", "h", 3)
+    return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.first("avg_similarity"), 6).alias("avg_similarity"))
+
+
 def simhash_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequential filter over the md5 form of the hash."""
     return S.simhash_filter(table(spark, sf_dir, "documents").select("doc_id", simhash("text", "md5hex").alias("h")), "doc_id", "h")
 
 
-QUERIES = {f.__name__: f for f in (job_counters, job_states, system_stats, alert_windows, map_pages, job_pauses, account_sessions, admitted_urls, conditional_headers, upserted_records, inserted_urls, registered_domains, search_index, simhash_pairs, simhash_groups, simhash_kept)}
+QUERIES = {f.__name__: f for f in (job_counters, job_states, system_stats, alert_windows, map_pages, job_pauses, account_sessions, admitted_urls, conditional_headers, upserted_records, inserted_urls, registered_domains, search_index, simhash_pairs, simhash_groups, simhash_cluster_means, simhash_kept)}
 
 
 def _sessions(key: str, us: int) -> str:
@@ -179,3 +185,6 @@ n AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r AS (SELECT h AS
 m AS (SELECT h, min(doc_id) AS rep FROM h0 WHERE h IS NOT NULL GROUP BY h)
 SELECT h0.doc_id AS id, (SELECT min(m.rep) FROM r JOIN m ON m.h = r.o WHERE r.node = h0.h) AS cluster FROM h0 WHERE h0.h IS NOT NULL""",
 }
+SQL["simhash_cluster_means"] = f"""WITH g AS MATERIALIZED ({SQL['simhash_groups']}), {_HASHES}, m AS MATERIALIZED (SELECT g.cluster, g.id, h0.h FROM g JOIN h0 ON h0.doc_id = g.id),
+n AS (SELECT cluster, count(*) AS n FROM m GROUP BY 1), p AS (SELECT a.cluster, avg(1 - bit_count(xor(a.h, b.h)) / 64) AS mean FROM m a JOIN m b ON a.cluster = b.cluster AND a.id < b.id GROUP BY 1)
+SELECT n.cluster, n.n, round(coalesce(p.mean, 1.0), 6) AS avg_similarity FROM n LEFT JOIN p USING (cluster)"""

@@ -168,3 +168,17 @@ def test_chain_beyond_any_number_of_rounds(spark, monkeypatch, rest):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
     got = {r.id: r.duplicate_of for r in S.first_kept(pairs, spark.range(n + 1)).collect()}
     assert got == {k: None if k % 2 == 0 else k - 1 for k in range(n + 1)}
+
+
+def test_recall_of_the_bands(spark):
+    """Against brute force over all signatures of a table: the bands bring nearly all pairs over the threshold together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 200").select("doc_id", K.minhash("text").alias("sig"))
+    rows = docs.dropDuplicates(["sig"]).collect()
+    ids, sigs = [r.doc_id for r in rows], np.array([r.sig for r in rows])
+    want = set()
+    for k in range(len(ids)):
+        for j in np.flatnonzero((sigs[k + 1 :] == sigs[k]).mean(axis=1) >= 0.7) + k + 1:
+            want.add((min(ids[k], ids[j]), max(ids[k], ids[j])))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, sigs)], "id long, m array<long>")
+    got = {(r.a, r.b) for r in S.minhash_pairs(df, "id", "m", 0.7).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 5
