@@ -12,7 +12,7 @@ from skeinwork.llm.packing import pack_items
 from skeinwork.llm.site_lines import boilerplate_lines, remove_boilerplate
 from skeinwork.llm.split import split_texts
 from skeinwork.operators.dedup import drop_repeats
-from skeinwork.session import table
+from skeinwork.session import cut_lineage, table
 
 
 def _limit(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
@@ -90,7 +90,7 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of p9_packed: every document is there, no container is over its size, and only larger texts are split."""
     size, _ = _limit(spark, sf_dir, "pack")
-    packed = p9_packed(spark, sf_dir)
+    packed = cut_lineage(p9_packed(spark, sf_dir))  # read twice
     full = packed.filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.coalesce(F.sum((F.col("n") > size).cast("int")), F.lit(0)).alias("overfull"))
     each = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
     split = each.agg(F.count("*").alias("documents"), F.sum((F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n") / size))).cast("int")).alias("needless"), F.sum((F.col("end") != F.col("n")).cast("int")).alias("gaps"))
